@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litweave.llm import bpe, ledger, mixing, terms, together
+from litweave.llm import bpe, ledger, mixing, pii, terms, together
 from litweave.runtime import table
 
 
@@ -71,7 +71,19 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.mix(sized, targets), mixing.source_totals(sized, targets))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p4_found, p4_terms, p5_found, p5_pairs, p8_ids, p9_found, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: each distinct run and kind."""
+    model, spans = pii.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "author"))
+    return pii.found_spans(model, spans)
+
+
+def p10_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with typed placeholders in place of personal data."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.mask(docs, pii.fit(docs, table(spark, sf_dir, "author"))[0])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p4_found, p4_terms, p5_found, p5_pairs, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_masked)}
 
 _CANON = "regexp_replace(lower(upper({0})), '[^\\pL\\pN]+', '', 'g')"
 _GROUPS = f"""
