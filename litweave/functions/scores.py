@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 # Coefficients of a published rational approximation of the inverse normal distribution (|error| < 1.2e-9).
@@ -30,26 +30,9 @@ def inverse_normal(p: Column) -> Column:
     return F.when((p <= 0) | (p >= 1), None).when(p < _LOW, low).when(p > 1 - _LOW, high).otherwise(middle)
 
 
-def over(*partition: str) -> WindowSpec:
-    """A window over whole partitions; without columns, over everything."""
-    return Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(1))
-
-
-def average_rank(score: Column, *partition: str) -> Column:
-    """Ascending rank from 1; equal scores share the mean of their ranks."""
-    same = Window.partitionBy(*[F.col(c) for c in partition], score)
-    return F.rank().over(over(*partition).orderBy(score)) + (F.count(F.lit(1)).over(same) - 1) / 2
-
-
-def zscore(score: Column, *partition: str) -> Column:
-    """Standardised by the population deviation; null where all are equal."""
-    w = over(*partition)
-    return F.try_divide(score - F.avg(score).over(w), F.nullif(F.stddev_pop(score).over(w), F.lit(0.0)))
-
-
 def softmax(score: Column, *partition: str) -> Column:
     """Row softmax, stable for large scores."""
-    w = over(*partition)
+    w = Window.partitionBy(*partition)
     e = F.exp(score - F.max(score).over(w))
     return e / F.sum(e).over(w)
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litweave.functions.scores import average_rank
-from litweave.operators.ranking import combine, distance_bin, top_k_by
+from litweave.operators.ranking import distance_bin, distinct_ranks, normal_scores, top_k_by
+from litweave.runtime import materialise
 
 
 def precision_by_year(preds: DataFrame, truth: DataFrame, year: int, last_year: int, cumulative: bool = True, key: str = "v") -> DataFrame:
@@ -22,10 +22,10 @@ def precision_by_year(preds: DataFrame, truth: DataFrame, year: int, last_year:
 
 
 def auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """(auc) by average ranks (exact with ties); null with one class. Ties are counted by score first, so the window runs over distinct scores."""
-    by = scored.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
-    below = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("s")) - F.col("n")
-    ranked = by.withColumn("rank", below + (F.col("n") + 1) / 2)
+    """(auc) by average ranks (exact with ties); null with one class. Missing scores are left out."""
+    own = materialise(scored.where(~F.isnan(F.col(score).cast("double"))).select(F.col(score).alias("s"), F.col(label).cast("long").alias("y")), "auc")
+    pos = own.groupBy("s").agg(F.sum("y").alias("pos"))
+    ranked = distinct_ranks(own, "s").join(pos, "s")
     out = ranked.agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return out.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, (F.col("p") * F.col("q")).cast("double")).alias("auc"))
 
@@ -41,10 +41,9 @@ def orbit_scores(items: DataFrame, betas: list[float], k: int = 50) -> DataFrame
 
     items(v, spd, sim, outer): distance and text similarity are combined by normal scores of rank at every beta.
     """
-    spark = items.sparkSession
-    grid = spark.createDataFrame([(float(b),) for b in betas], "beta double")
-    both = items.withColumn("level", distance_bin(F.col("spd"))).withColumn("near", F.exp("sim")).join(F.broadcast(grid))
-    scored = combine(both, "level", "near", F.col("beta"), "van-der-waerden", "beta")
+    grid = items.sparkSession.createDataFrame([(float(b),) for b in betas], "beta double")
+    scored = normal_scores(items.withColumn("level", distance_bin(F.col("spd"))).withColumn("near", F.exp("sim")), "level", "near").join(F.broadcast(grid))
+    scored = scored.withColumn("score", F.col("beta") * F.col("q1") + (1 - F.abs("beta")) * F.col("q2"))
     top = top_k_by(scored, k, "beta")
     return top.groupBy("beta", "level").agg((F.count("*") / F.lit(float(k))).alias("share"), F.avg("outer").alias("mean_outer"), F.count("*").alias("n"))
 
@@ -68,8 +67,3 @@ def validation_precision(dots: DataFrame, truth: DataFrame, k: int = 50) -> Data
     top = dots.orderBy(F.desc_nulls_last("score"), "v").limit(k)
     hit = top.join(truth.select("v").distinct().withColumn("hit", F.lit(1)), "v", "left")
     return hit.agg(F.try_divide(F.count("hit"), F.count("*")).alias("precision"))
-
-
-def ranks(df: DataFrame, score: str) -> DataFrame:
-    """Adds ``rank``, the ascending average rank."""
-    return df.withColumn("rank", average_rank(F.col(score)))

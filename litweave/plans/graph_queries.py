@@ -9,6 +9,7 @@ from litweave.functions import text
 from litweave.operators import hops, incidence, paths, walks
 from litweave.operators.ranking import distance_bin
 from litweave.plans.common import BASE, PROPERTY, YEAR, catalog, graph, recent
+from litweave.plans.predictors import hypergraph_transition
 from litweave.runtime import materialise, table, to_utc_ntz
 
 QUERIES, ORACLE = {}, {}
@@ -123,13 +124,31 @@ def _scores(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return hops.accessibility(recent(spark, sf_dir).inc, **options).select("v", F.round("score", 9).alias("score"))
 
 
-@query(f"""{BASE}, {_PLAIN}, {_steps(1, "t <> 'keyword'", True)}
-SELECT v, round(x, 9) AS score FROM x1 WHERE t = 'entity' AND v NOT IN (SELECT v FROM fy WHERE year < {YEAR}) ORDER BY round(x, 9) DESC, v LIMIT 50""")
+def _predict_sql(nstep: int, weights: str = _PLAIN) -> str:
+    return f"""{BASE}, {weights}, {_steps(nstep, "t <> 'keyword'", True)}
+SELECT k.v, round(coalesce(x.x, 0), 9) AS score FROM (SELECT DISTINCT v FROM inc WHERE t = 'entity' AND v NOT IN (SELECT v FROM fy WHERE year < {YEAR})) k LEFT JOIN (SELECT v, x FROM x{nstep} WHERE t = 'entity') x USING (v)
+ORDER BY round(coalesce(x.x, 0), 9) DESC, k.v LIMIT 50"""
+
+
+def _predicted(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return hypergraph_transition(graph(spark, sf_dir).written(), **options)(YEAR, size=50, scores=True)
+
+
+@query(_predict_sql(1))
 def access_kw_to_entity_1step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: the 50 entities not yet studied that are nearest to the property."""
-    from litweave.plans.predictors import hypergraph_transition
+    """The 50 best entities not yet studied, one step from the property (0 by definition: ties by id)."""
+    return _predicted(spark, sf_dir)
+
+
+@query(_predict_sql(2))
+def predict_hypergraph_2step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: the 50 entities not yet studied that are nearest to the property in two steps."""
+    return _predicted(spark, sf_dir, nstep=2)
+
 
-    return hypergraph_transition(graph(spark, sf_dir).written())(YEAR, size=50, scores=True)
+@query(_predict_sql(2, _alpha_sql(0.5)))
+def predict_hypergraph_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predicted(spark, sf_dir, nstep=2, alpha=0.5)
 
 
 @query(_access(2, "t <> 'keyword'"))

@@ -27,12 +27,12 @@ def _ranked(scored: DataFrame, size: int, scores: bool, subset: DataFrame | None
 
 
 def hypergraph_transition(g: Hypergraph, nstep: int = 1, memory: int = 5, alpha: float | None = None, constraint: Callable[[DataFrame], DataFrame] | None = None) -> Predictor:
-    """Accessibility from the keyword over the years before, among entities not studied until then."""
+    """Accessibility from the keyword over the years before, among entities not studied until then (0 where unreachable)."""
 
     def predict(year: int, subset: DataFrame | None = None, size: int = 50, scores: bool = False) -> DataFrame:
         w = g.window(year, memory)
         score = hops.multistep(hops.unit(w.inc, "keyword"), w.inc, nstep, lambda t: t != "keyword", alpha=alpha).where(F.col("t") == "entity").select("v", F.col("x").alias("score"))
-        left = score.join(truth.studied_before(g, year), "v", "left_anti")
+        left = truth.unstudied(g, year).join(score, "v", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         return _ranked(constraint(left) if constraint else left, size, scores, subset)
 
     return predict
