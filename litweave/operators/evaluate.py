@@ -26,7 +26,7 @@ def auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFr
     own = materialise(scored.where(~F.isnan(F.col(score).cast("double"))).select(F.col(score).alias("s"), F.col(label).cast("long").alias("y")), "auc")
     pos = own.groupBy("s").agg(F.sum("y").alias("pos"))
     ranked = distinct_ranks(own, "s").join(pos, "s")
-    out = ranked.agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
+    out = ranked.agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n_rows") - F.col("pos")).alias("q"))
     return out.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, (F.col("p") * F.col("q")).cast("double")).alias("auc"))
 
 
@@ -42,7 +42,8 @@ def orbit_scores(items: DataFrame, betas: list[float], k: int = 50) -> DataFrame
     items(v, spd, sim, outer): distance and text similarity are combined by normal scores of rank at every beta.
     """
     grid = items.sparkSession.createDataFrame([(float(b),) for b in betas], "beta double")
-    scored = normal_scores(items.withColumn("level", distance_bin(F.col("spd"))).withColumn("near", F.exp("sim")), "level", "near").join(F.broadcast(grid))
+    ready = materialise(items.withColumn("level", distance_bin(F.col("spd"))).withColumn("near", F.exp("sim")), "orbits")
+    scored = normal_scores(ready, "level", "near").join(F.broadcast(grid))
     scored = scored.withColumn("score", F.col("beta") * F.col("q1") + (1 - F.abs("beta")) * F.col("q2"))
     top = top_k_by(scored, k, "beta")
     return top.groupBy("beta", "level").agg((F.count("*") / F.lit(float(k))).alias("share"), F.avg("outer").alias("mean_outer"), F.count("*").alias("n"))

@@ -12,20 +12,20 @@ METHODS = ("ranking", "geometric", "harmonic", "z-score", "van-der-waerden")
 
 
 def distinct_ranks(df: DataFrame, score: str) -> DataFrame:
-    """(score, rank, n): ascending average rank of every distinct score and its rows, without a global window.
+    """(score, rank, n_rows): ascending average rank of every distinct score and its rows, without a global window.
 
     Distinct scores are counted, range-partitioned and written; the rows of the partitions before give each
     partition its offset (one number a partition on the driver), and ranks are local from there.
     """
-    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score)).agg(F.count("*").alias("n"))
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score)).agg(F.count("*").alias("n_rows"))
     parts = materialise(counts.repartitionByRange(F.col(score)).withColumn("part", F.spark_partition_id()), "ranks")
     offsets, below = [], 0
-    for r in parts.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+    for r in parts.groupBy("part").agg(F.sum("n_rows").alias("n")).orderBy("part").collect():
         offsets.append((r["part"], below))
         below += r["n"]
     start = df.sparkSession.createDataFrame(offsets, "part int, start long")
-    upto = F.sum("n").over(Window.partitionBy("part").orderBy(score)) - F.col("n")
-    return parts.withColumn("upto", upto).join(F.broadcast(start), "part").select(score, (F.col("start") + F.col("upto") + (F.col("n") + 1) / 2).alias("rank"), "n")
+    upto = F.sum("n_rows").over(Window.partitionBy("part").orderBy(score)) - F.col("n_rows")
+    return parts.withColumn("upto", upto).join(F.broadcast(start), "part").select(score, (F.col("start") + F.col("upto") + (F.col("n_rows") + 1) / 2).alias("rank"), "n_rows")
 
 
 def with_rank(df: DataFrame, score: str, out: str) -> DataFrame:
@@ -53,6 +53,8 @@ def normal_scores(df: DataFrame, s1: str, s2: str) -> DataFrame:
 def combine(df: DataFrame, s1: str, s2: str, beta: float, method: str) -> DataFrame:
     """Adds ``score`` from two score columns over the whole table. Ranks are ascending averages."""
     a, c = F.col(s1), F.col(s2)
+    if method in ("ranking", "van-der-waerden"):
+        df = materialise(df, "scores")
     if method == "ranking":
         ranked = with_rank(with_rank(df, s1, "__r1"), s2, "__r2")
         return ranked.withColumn("score", -(beta * F.col("__r1") + (1 - beta) * F.col("__r2"))).drop("__r1", "__r2")
