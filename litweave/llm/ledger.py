@@ -24,8 +24,12 @@ _SCHEMA = "key binary, n_copies long, first_id long, bucket int"
 
 
 def canonical(col: Column) -> Column:
-    """Letters and digits only, letter case aside (upper before lower, so that ß reads as ss)."""
-    return F.regexp_replace(F.lower(F.upper(col)), r"[^\p{L}\p{N}]+", "")
+    """Letters and digits only, letter case aside.
+
+    Upper case comes first, so that ß reads as ss; the removal stands between both because the optimizer takes
+    lower(upper(x)) for lower(x).
+    """
+    return F.lower(F.regexp_replace(F.upper(col), r"[^\p{L}\p{N}]+", ""))
 
 
 def canonical_key(*fields: Column) -> Column:
