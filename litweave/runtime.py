@@ -62,10 +62,13 @@ def _cleanup() -> None:
             return
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-heavy stages at least two tasks a core. Inputs that already have as many splits are not shuffled."""
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy stages at least two tasks a core. Inputs that already have as many splits are not shuffled.
+
+    Rows are dealt round, so that no key, however frequent, decides where they go.
+    """
     want = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, *keys)
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
 
 def hot_keys(df: DataFrame, key: str, parts: int = HOT_PARTS) -> list:
