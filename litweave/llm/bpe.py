@@ -162,7 +162,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], [key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return spread(df.select(key, text), key).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def token_counts(df: DataFrame, keep: tuple[str, ...], text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -176,4 +176,4 @@ def token_counts(df: DataFrame, keep: tuple[str, ...], text: str = "text", vocab
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], [*keep, "n_tokens"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return spread(df.select(*keep, F.col(text)), keep[0]).mapInArrow(run, f"{kinds}, n_tokens long")
+    return spread(df.select(*keep, F.col(text))).mapInArrow(run, f"{kinds}, n_tokens long")

@@ -93,7 +93,7 @@ class DuplicateLedger:
             F.least("first_id", "first_new").alias("first_id"),
         )
         gen = self.generation + 1
-        merged.repartition(F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/gen={gen}")
+        merged.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/gen={gen}")
         old = {(self.where[b], b) for b in touched if b in self.where}
         self.generation = gen
         self.where |= dict.fromkeys(touched, gen)
@@ -106,16 +106,17 @@ class DuplicateLedger:
         return self._read(sorted(self.where)).drop("bucket")
 
 
-def collapse_copies(df: DataFrame, id_col: str, fields: tuple[str, ...], at: str, batches: int = 3, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+def collapse_copies(df: DataFrame, id_col: str, fields: tuple[str, ...], at: str, batches: int = 3, bucket_rows: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """Replay a table into a ledger in the order of arrival: (ledger, keyed rows (key, id)).
 
     The batches are equal slices of the time between the first and the last arrival; rows without time come first.
+    Buckets are made for about ``bucket_rows`` keys each, so that one task writes one bucket at any size.
     """
     spark = df.sparkSession
     keyed = df.select(canonical_key(*[F.col(f) for f in fields]).alias("key"), F.col(id_col).alias("id"), F.unix_micros(F.col(at).cast("timestamp")).alias("at")).where(F.col("key").isNotNull())
     keyed = materialise(keyed, "ledger-keys")
-    lo, hi = keyed.agg(F.min("at"), F.max("at")).first()
-    ledger = DuplicateLedger(spark, new_path(spark, "ledger"), buckets)
+    lo, hi, n = keyed.agg(F.min("at"), F.max("at"), F.count("*")).first()
+    ledger = DuplicateLedger(spark, new_path(spark, "ledger"), max(8, n // bucket_rows))
     step = max(1, ((hi or 0) - (lo or 0)) // batches + 1)
     number = F.coalesce(F.floor((F.col("at") - (lo or 0)) / step), F.lit(0))
     for b in range(batches):

@@ -35,7 +35,7 @@ def paper_table(spark, rows=PAPERS):
 
 
 def test_copies(spark):
-    led, keyed = ledger.collapse_copies(paper_table(spark), "paper_id", ("doi", "title"), "loaded_at", batches=4, buckets=3)
+    led, keyed = ledger.collapse_copies(paper_table(spark), "paper_id", ("doi", "title"), "loaded_at", batches=4, bucket_rows=1)
     groups = defaultdict(list)
     for i, d, t, _ in PAPERS:
         if d is not None and t is not None and canon(d) not in ("", "na") and canon(t) not in ("", "na"):
