@@ -22,7 +22,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +69,8 @@ _EMAIL = {
     "spoken": re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*\s+at\s+[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]*[A-Za-z0-9])*\s+dot\s+[A-Za-z0-9-]*[A-Za-z0-9]", re.I),
     "odd": re.compile(r"(?<!\S)[^\s@<>]+@[^\s@<>]+"),
 }
-_S = r"[\s.\-/]"
+#: What a text must hold for a pattern to be tried at all.
+_NEEDS = {"written": re.compile(r"[\[({]\s*(?:at|@)\s*[\])}]", re.I), "spoken": re.compile(r"\sdot\s", re.I)}
 _PHONE = {
     "plus": re.compile(r"(?<![A-Za-z0-9+])\+\d{1,3}(?:\s*\(\d{1,4}\)\s*)?(?:[\s.\-/]?\d){6,12}(?![A-Za-z0-9])"),
     "zeros": re.compile(r"(?<![A-Za-z0-9+.\-/])00[1-9]\d(?:\s\d{2,6}){2,4}(?![A-Za-z0-9])"),
@@ -94,7 +95,7 @@ _STREETNAME = r"\p{Lu}[\p{L}'’-]+"
 _ADDRESS = {
     "number first": re.compile(rf"(?<![\p{{L}}\p{{N}}.,\-/])\d{{1,4}}[A-Za-z]?{_GAP}(?:(?:[NSEW]\.|(?i:North|South|East|West|Old|New|Upper|Lower|Great|Little)){_GAP}){{0,2}}(?:{_STREETNAME}{_GAP}){{1,3}}?(?i:{STREET})(?!\p{{L}})"),
     "french": re.compile(rf"(?<![\p{{L}}\p{{N}}.,\-/])\d{{1,4}}[A-Za-z]?\b(?:{_GAP}(?i:bis|ter|quater)\b)?,?{_GAP}(?i:{STREET_FR}){_GAP}(?:(?i:de{_GAP}la|de{_GAP}l['’]|des|du|de|la|le)(?:{_GAP})?|(?i:d['’]|l['’]))?{_STREETNAME}(?!\p{{L}})"),
-    "german": re.compile(rf"(?<![\p{{L}}\p{{N}}])\p{{Lu}}\p{{L}}{{2,}}?(?i:{STREET_DE}){_GAP}\d{{1,4}}(?:[A-Za-z](?![\p{{L}}\d]))?(?!\d)"),
+    "german": re.compile(rf"(?<![\p{{L}}\p{{N}}])\p{{Lu}}\p{{L}}+?(?i:{STREET_DE}){_GAP}\d{{1,4}}(?:[A-Za-z](?![\p{{L}}\d]))?(?!\d)"),
     "spanish": re.compile(rf"(?<![\p{{L}}\p{{N}}])(?i:{STREET_ES})(?:{_GAP})?(?:(?i:de{_GAP}la|de{_GAP}los|de{_GAP}las|del|de){_GAP})?{_STREETNAME}(?:{_GAP}{_STREETNAME})?,?{_GAP}(?:(?i:n\.º|n[oº°]\.?|núm\.)(?:{_GAP})?)?\d{{1,4}}(?:[A-Za-z](?![\p{{L}}\d]))?(?!\d)"),
     "odd": re.compile(rf"(?<![\p{{L}}\p{{N}}])\p{{Lu}}[\p{{L}}'’-]+\s+(?:Street|Road|Lane|Avenue|Drive|Close|Court|Hill)(?!\p{{L}})(?:\s+\d+)?"),
 }
@@ -108,6 +109,7 @@ _REST = re.compile(rf"(?:{_GAP}{_INITIALS})?")
 _AHEAD = re.compile(rf"(?<![\p{{L}}\p{{N}}'’.-])({_SURNAME})(,?){_GAP}\Z")
 
 
+@lru_cache(200_000)
 def plain(word: str) -> str:
     """Lower case without accents."""
     word = word.lower().translate(str.maketrans("øłđßæœ", "oldsao"))
@@ -165,6 +167,8 @@ def propose(text: str, people: People) -> list[tuple[int, int, int, str, str]]:
     for k, patterns in enumerate((_EMAIL, _PHONE, _ID, _ADDRESS)):
         taken: list[tuple[int, int]] = []
         for form, p in patterns.items():
+            if form in _NEEDS and not _NEEDS[form].search(text):
+                continue
             for m in p.finditer(text):
                 a, b = m.span()
                 if form != "odd":
@@ -335,7 +339,7 @@ def candidate_spans(docs: DataFrame, people: People, key: str = "doc_id", text:
             keep = pa.array([bool(s) for s in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(kind))], [key, "spans"]).filter(keep)
 
-    return spread(docs.select(key, text), key).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, spans {SPANS}")
+    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, spans {SPANS}")
 
 
 def train(spans: DataFrame, people: People, key: str = "doc_id") -> PiiModel:
@@ -402,4 +406,4 @@ def mask(docs: DataFrame, model: PiiModel, key: str = "doc_id", text: str = "tex
                 out.append(t)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], [key, text])
 
-    return spread(docs.select(key, text), key).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, `{text}` string")
+    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, `{text}` string")
