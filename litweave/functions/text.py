@@ -33,10 +33,9 @@ def words(text: Column) -> Column:
 
 
 def normalise(text: Column, number: str = "<nUm>") -> Column:
-    """Lower case, numbers to a placeholder, other punctuation to blanks."""
-    text = F.regexp_replace(F.lower(text), r"(?<![\p{L}\p{N}.])-?[0-9]+(?:\.[0-9]+)?(?![\p{L}\p{N}])", " \u0001 ")
-    text = F.regexp_replace(text, r"[^\p{L}\p{N}\u0001]+", " ")
-    return F.trim(F.replace(text, F.lit("\u0001"), F.lit(number)))
+    """Lower case, words and numbers only, numbers as a placeholder."""
+    parts = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]*\p{L}[\p{L}\p{N}]*|[0-9]+(?:\.[0-9]+)?"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda t: F.when(t.rlike(r"^[0-9.]+$"), F.lit(number)).otherwise(t)), " ")
 
 
 def without(tokens: Column, stop: Iterable[str]) -> Column:
@@ -50,6 +49,11 @@ def keep_token(token: Column, discard_prefix: str = "a_") -> Column:
     return ~token.startswith(discard_prefix)
 
 
+def certain_terms(token: Column, terms: Iterable[str]) -> Column:
+    """The vocabulary rule that keeps listed terms whatever their count."""
+    return token.isin(list(terms))
+
+
 def simple_formula(token: Column) -> Column:
     """Whether a token is a formula of element symbols and numbers with at least two elements."""
     return token.rlike(r"^(?:[A-Z][a-z]?[0-9.]*){2,}$")

@@ -94,6 +94,19 @@ def accessibility(inc: DataFrame, direction: str = "KWtoC", nstep: int = 1, alph
     return every.join(found, "v", "left").select("v", F.coalesce("x", F.lit(0.0)).alias("score"))
 
 
+def accessibility_by_year(g, years: list[int], how: str = "SUM", nstep: int = 1) -> DataFrame:
+    """(v, score): accessibility from the keyword within each year, as SUM, MEAN or MAX over the years.
+
+    A year without the entity counts 0. The years are a short list; each is its own small graph.
+    """
+    each = None
+    for y in years:
+        one = accessibility(g.years([y]).inc, "KWtoC", nstep).select("v", "score")
+        each = one if each is None else each.unionByName(one)
+    total = {"SUM": F.sum("score"), "MEAN": F.sum("score") / len(years), "MAX": F.max("score")}[how]
+    return each.groupBy("v").agg(total.alias("score"))
+
+
 def transition_matrix(inc: DataFrame, sources: Keep, targets: Keep, alpha: float | None = None, literal: bool = False) -> DataFrame:
     """(t1, v1, t2, v2, p) of a block of the transition matrix, diagonal kept. For blocks, not for whole graphs."""
     a = inc.where(sources(F.col("t"))).select("e", F.col("t").alias("t1"), F.col("v").alias("v1"))

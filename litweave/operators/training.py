@@ -128,3 +128,9 @@ def train_encoder(features: DataFrame, pairs: DataFrame, size: int, rounds: int
             g = (1 / (1 + np.exp(-np.clip((x * y).sum(1), -30, 30))) - label)[:, None]
             w -= rate * (left.T @ (g * y) + right.T @ (g * x)) / len(a)
     return w
+
+
+def mini_batches(df: DataFrame, size: int, seed: int = 42) -> DataFrame:
+    """Adds ``batch``: rows in a hashed order, about ``size`` in each batch. Another seed gives another order."""
+    n = max(1, -(-df.count() // size))
+    return df.withColumn("batch", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns], F.lit(seed)), F.lit(n)).cast("int"))

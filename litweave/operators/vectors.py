@@ -123,3 +123,14 @@ def euclid_similarity(a: Column, b: Column) -> Column:
 def aligned_scores(wanted: DataFrame, scores: DataFrame, keep_missing: bool = True) -> DataFrame:
     """(pos, token, score) in the order of wanted(pos, token); missing scores null or left out."""
     return wanted.join(scores.select("token", "score"), "token", "left" if keep_missing else "inner").select("pos", "token", "score")
+
+
+def locate(moving: DataFrame, fixed: DataFrame) -> DataFrame:
+    """(pos, value, at): place of each value of moving(pos, value) in fixed(pos, value), the first one; null where absent."""
+    places = fixed.groupBy("value").agg(F.min("pos").alias("at"))
+    return moving.join(places, "value", "left").select("pos", "value", "at")
+
+
+def node_features(nodes: DataFrame, features: DataFrame, size: int) -> DataFrame:
+    """(t, v, vec) of nodes(t, v): their features(t, v, vec), zeros where there are none."""
+    return nodes.join(features, ["t", "v"], "left").select("t", "v", F.coalesce("vec", F.array(*[F.lit(0.0)] * size)).alias("vec"))

@@ -158,7 +158,7 @@ def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "paper").where(F.col("abstract").isNotNull()).select("paper_id", text.words(F.col("abstract")).alias("tokens"))
 
 
-@query()
+@query("SELECT paper_id, array_to_string(list_transform(regexp_extract_all(lower(abstract), '[\\pL\\pN]*\\pL[\\pL\\pN]*|[0-9]+(?:\\.[0-9]+)?'), lambda t: CASE WHEN regexp_full_match(t, '[0-9.]+') THEN '<nUm>' ELSE t END), ' ') AS text FROM paper WHERE abstract IS NOT NULL")
 def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "paper").where(F.col("abstract").isNotNull()).select("paper_id", text.normalise(F.col("abstract")).alias("text"))
 

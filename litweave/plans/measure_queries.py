@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litweave.functions import scores
-from litweave.operators import density, evaluate, paths, ranking, truth
+from litweave.operators import density, evaluate, hops, paths, ranking, truth
 from litweave.plans import predictors
 from litweave.plans.common import BASE, LAST, MEMORY, PROPERTY, YEAR, catalog, graph, keyword_papers, recent
 from litweave.plans.graph_queries import _PLAIN, _bfs_sql, _predict_sql, _scores, _steps
@@ -312,3 +312,21 @@ def negative_sampling_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litweave.operators.training import negative_distribution
 
     return negative_distribution(recent(spark, sf_dir).inc.where(F.col("t") == "entity")).select("v", F.round("p", 9).alias("p"))
+
+
+@query(f"""{BASE}, ys AS (SELECT i.e, i.t, i.v, p.year FROM inc i JOIN p USING (e) WHERE p.year BETWEEN {YEAR - MEMORY} AND {YEAR - 1}),
+sy AS (SELECT e, count(*) AS s FROM ys GROUP BY e), dk AS (SELECT year, count(*) AS d FROM ys WHERE t = 'keyword' GROUP BY year),
+ay AS (SELECT n.v, n.year, sum(1.0 / (dk.d * sy.s)) AS x FROM ys k JOIN ys n USING (e) JOIN sy USING (e) JOIN dk ON dk.year = n.year WHERE k.t = 'keyword' AND n.t = 'entity' GROUP BY 1, 2)
+SELECT q.v, round(coalesce(sum(ay.x), 0), 9) AS score FROM (SELECT DISTINCT v FROM ys WHERE t = 'entity') q LEFT JOIN ay USING (v) GROUP BY q.v""")
+def access_scalar_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accessibility of each of the years before, summed."""
+    found = hops.accessibility_by_year(recent(spark, sf_dir), list(range(YEAR - MEMORY, YEAR)))
+    return found.withColumn("score", F.round("score", 9))
+
+
+@query(f"""WITH RECURSIVE preds AS ({_predict_sql(2)}), tr AS (SELECT v FROM ({BASE} SELECT v FROM fy WHERE year = {YEAR + 1}))
+SELECT round(count(tr.v)::DOUBLE / count(*), 9) AS precision FROM preds LEFT JOIN tr USING (v)""")
+def validation_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir).written()
+    dots = materialise(predictors.hypergraph_transition(g, 2)(YEAR, scores=True), "predictions")
+    return evaluate.validation_precision(dots, truth.year_discoveries(g, YEAR + 1)).withColumn("precision", F.round("precision", 9))

@@ -185,9 +185,10 @@ def spectral_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _title_vectors(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH {TOK}, u AS (SELECT token, count(*) AS n FROM tok GROUP BY token), b AS (SELECT a.token AS first, b.token AS second, count(*) AS n FROM tok a JOIN tok b ON a.doc = b.doc AND b.pos = a.pos + 1 GROUP BY 1, 2)
+SELECT * FROM (SELECT b.first, b.second, b.n, round((b.n - 5) * (SELECT count(*) FROM u)::DOUBLE / (x.n::DOUBLE * y.n), 9) AS score FROM b JOIN u x ON x.token = b.first JOIN u y ON y.token = b.second WHERE b.n >= 5) WHERE score > 10""")
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.phrases(title_tokens(spark, sf_dir))
+    return training.phrases(title_tokens(spark, sf_dir)).withColumn("score", F.round("score", 9)).where(F.col("score") > 10)
 
 
 @query()
@@ -261,7 +262,10 @@ def predict_first_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walk_prediction(spark, sf_dir, "passage")
 
 
-@query()
+@query(f"""{_PW}, gr AS (SELECT a.token AS center, b.token AS context, count(*) AS n FROM pw a JOIN pw b ON a.walk = b.walk AND b.pos BETWEEN a.pos - 4 AND a.pos + 4 AND b.pos <> a.pos GROUP BY 1, 2),
+q AS (SELECT context, n AS q FROM gr WHERE center = 'kw'), nm AS (SELECT center, sqrt(sum(n * n)) AS norm FROM gr GROUP BY center)
+SELECT g.center AS token, round(sum(g.n * q.q) / (any_value(nm.norm) * (SELECT sqrt(sum(q * q)) FROM q)), 9) AS score FROM gr g JOIN q USING (context) JOIN nm ON nm.center = g.center
+WHERE g.center IN (SELECT token FROM un) GROUP BY g.center ORDER BY 2 DESC, 1 LIMIT 50""")
 def predict_walk_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walk_prediction(spark, sf_dir, "similar")
 
@@ -302,3 +306,23 @@ def author_rank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog(spark, sf_dir)
     n = c.paper_author.where(F.col("paper_id").isNotNull()).groupBy("paper_id").agg(F.count("*").alias("n"))
     return with_rank(materialise(n, "author-numbers"), "n", "rank")
+
+
+@query(f"{_PW}, sm AS (SELECT chemical_id::VARCHAR AS token, round(ln(1 + length(name)), 9) AS sim FROM chemical WHERE name IS NOT NULL) SELECT DISTINCT token, sim AS score FROM un JOIN sm USING (token) ORDER BY sim DESC, token LIMIT 50")
+def predict_given_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walk tokens ranked by similarities computed elsewhere (here the length of the name)."""
+    tokens, first = _walks(spark, sf_dir)
+    sims = catalog(spark, sf_dir).entity.where(F.col("name").isNotNull()).select(F.col("entity_id").cast("string").alias("token"), F.round(F.log1p(F.length("name").cast("double")), 9).alias("sim"))
+    return walk_predictor(tokens, "kw", lambda y: first.where(F.col("year") < y).select("token"), "given", sims)(2012, scores=True)
+
+
+@query("SELECT p.paper_id AS pos, p.title AS value, f.at FROM paper p LEFT JOIN (SELECT title, min(paper_id) AS at FROM paper WHERE year(date) < 2012 GROUP BY title) f ON f.title = p.title")
+def located_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each title stands among the older ones."""
+    papers = catalog(spark, sf_dir).paper.select(F.col("paper_id").alias("pos"), F.col("title").alias("value"), "year")
+    return vectors.locate(papers.select("pos", "value"), papers.where(F.col("year") < 2012))
+
+
+@query()
+def mini_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.mini_batches(recent(spark, sf_dir).inc, 500)

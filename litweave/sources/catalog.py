@@ -59,3 +59,9 @@ class Catalog:
             getattr(self, name).createOrReplaceTempView(name)
         out = spark.sql(text)
         return out.toDF(*columns) if columns else out
+
+    def save(self, spark: SparkSession, database: str) -> None:
+        """All tables as managed tables of a database, created where missing and replaced where present."""
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+        for name in self.__dataclass_fields__:
+            getattr(self, name).write.mode("overwrite").saveAsTable(f"`{database}`.{name}")

@@ -181,3 +181,57 @@ def test_empty_graph(spark, toy):
     assert hops.accessibility(empty.inc, "KWtoC", 2).count() == 0
     assert paths.keyword_distance(empty.inc).count() == 0
     assert incidence.projection(empty.inc).count() == 0
+
+
+def test_pipelines(spark, toy):
+    from litweave.operators.walks import uniform
+    from litweave.plans import pipeline
+    from litweave.sources.catalog import Catalog
+
+    titles = {e: "about K" if "K" in ns else "other" for e, (_, ns) in EDGES.items()}
+    ids = lambda t: sorted(v for k, v in IDS.values() if k == t)
+    inc = toy.inc
+    c = Catalog(
+        paper=spark.createDataFrame([(e, None, y, titles[e], None) for e, (y, _) in EDGES.items()], "paper_id long, doi string, year int, title string, abstract string"),
+        author=spark.createDataFrame([(v,) for v in ids(A)], "author_id long"),
+        entity=spark.createDataFrame([(v, NAMES[X, v]) for v in ids(X)], "entity_id long, name string"),
+        affiliation=spark.createDataFrame([], "aff_id long"),
+        paper_author=inc.where(F.col("t") == A).select(F.col("e").alias("paper_id"), F.col("v").alias("author_id")),
+        paper_entity=inc.where(F.col("t") == X).select(F.col("v").alias("entity_id"), F.col("e").alias("paper_id")),
+        author_affiliation=spark.createDataFrame([], "author_id long, aff_id long"),
+    )
+    preds, precision = pipeline.predict_and_evaluate(c, ["about k"], 2002, 2004)
+    near({NAMES[X, r.v]: r.score for r in preds.collect()}, {"z": round(1 / 54, 9)})
+    assert [r.precision for r in precision.orderBy("year").collect()] == [1.0, 1.0]
+    features = spark.createDataFrame([(v,) for v in [*ids(X), -1]], "v long").select("v", F.array(*[uniform(7, F.col("v"), i) - 0.5 for i in range(4)]).alias("vec"))
+    got = pipeline.encode_and_predict(pipeline.property_graph(c, ["about k"]), features, 2002, size=4, n_walks=4, length=3).collect()
+    assert [NAMES[X, r.v] for r in got] == ["z"]
+
+
+def test_models(spark):
+    import numpy as np
+
+    from litweave.operators import training, vectors
+
+    m = np.outer([3.0, 1, 2], [1.0, 2, 0, 1]) + np.outer([0.0, 1, -1], [1.0, 0, 2, 0])
+    cells = [(f"r{i}", f"c{j}", float(m[i, j])) for i in range(3) for j in range(4)]
+    got = training.spectral(spark.createDataFrame(cells, "center string, context string, v double"), 2, 6).collect()
+    u = {r.token: r.vec for r in got if r.vec}
+    v = {r.token: r.out_vec for r in got if r.out_vec}
+    for i in range(3):
+        for j in range(4):
+            assert np.dot(u[f"r{i}"], v[f"c{j}"]) == pytest.approx(m[i, j], abs=1e-6)
+    x = np.random.default_rng(1).normal(size=(5, 3))
+    rows = [(1, x[k].tolist()) for k in range(5)] + [(2, [1.0, 0.0, 0.0])]
+    out = {r.author: np.array(r.vec) for r in vectors.author_vectors(spark.createDataFrame(rows, "author long, vec array<double>"), 3).collect()}
+    first = np.linalg.svd(x)[2][0]
+    want = x.sum(0) - first * (first @ x.sum(0))
+    assert np.allclose(out[1], want / np.linalg.norm(want)) and np.allclose(out[2], 0)
+    feats = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "v long, vec array<double>")
+    edges = spark.createDataFrame([(1, 2), (1, 3)], "src long, dst long")
+    near_ = np.array([[1.0, 0], [0, -2]])
+    layer = {r.v: r.vec for r in training.graph_layer(feats, edges, np.eye(2), near_, True).collect()}
+    own = np.array([1.0, 0]) + np.array([0.5, 1.0]) @ near_
+    assert np.allclose(layer[1], np.maximum(own / np.linalg.norm(own), 0)) and np.allclose(layer[2], [0, 1])
+    assert training.sample_neighbors(edges, 1).count() == 1
+    assert sorted(map(tuple, training.positive_pairs(spark.createDataFrame([(0, "1,2"), (1, ""), (2, "0")], "src long, value string")).collect())) == [(0, 1), (0, 2), (2, 0)]
