@@ -38,7 +38,7 @@ FIT_SPANS, GAZETTEER, CONTEXT = 10_000, 100_000, 512
 SPANS = "array<struct<kind:int,a:int,b:int,run:string,votes:string,ctx:array<int>>>"
 
 # Cue words and written forms of the domain.
-STREET = r"(?:Street|St\.|St\b|Road|Rd\b\.?|Lane|Ln\b\.?|Avenue|Ave\b\.?|Drive|Close|Court|Ct\b\.?|Hill|Way|Place|Square|Terrace|Crescent|Gardens|Grove|Row|Walk|Boulevard|Blvd\b\.?)"
+STREET = r"(?:Street|St\.|St\b|Road|Rd\b(?:\.(?=,))?|Lane|Ln\b(?:\.(?=,))?|Avenue|Ave\b(?:\.(?=,))?|Drive|Close|Court|Ct\b(?:\.(?=,))?|Hill|Way|Place|Square|Terrace|Crescent|Gardens|Grove|Row|Walk|Boulevard|Blvd\b(?:\.(?=,))?)"
 STREET_DE = r"(?:stra(?:ss|ß)e|str\.|platz|weg|gasse|allee|ring|damm|ufer)"
 STREET_FR = r"(?:rue|avenue|av\.|bd|boulevard|place|allée|chemin|quai|impasse|route|cours|square)"
 STREET_ES = r"(?:Calle|C/|Avda\.|Av\.|Avenida|Plaza|Pza\.|Paseo|P\.º|Camino|Ronda|Travesía)"
