@@ -63,22 +63,24 @@ HARVEST = NodeSpec(
 )
 
 
+def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value) with the value computed once, however often fn uses it."""
+    return F.get(F.transform(F.array(value), lambda v: fn(v)), F.lit(0))
+
+
 def _text(value: Column) -> Column:
     """Text of a scalar variant; null for null, objects and lists."""
     return F.when(~F.schema_of_variant(value).rlike("^(OBJECT|ARRAY|VOID)"), F.try_variant_get(value, "$", "string"))
 
 
 def _at(value: Column, path: str) -> Column:
-    return _text(F.try_variant_get(value, path, "variant"))
+    return _let(F.try_variant_get(value, path, "variant"), _text)
 
 
 def _elements(value: Column, path: str) -> Column:
-    part = F.try_variant_get(value, path, "variant")
-    return F.coalesce(
-        F.try_variant_get(value, path, "array<variant>"),
-        F.when(part.isNotNull() & ~F.is_variant_null(part), F.array(part)),
-        F.array().cast("array<variant>"),
-    )
+    empty = F.array().cast("array<variant>")
+    many = lambda p: F.coalesce(F.try_variant_get(p, "$", "array<variant>"), F.when(F.is_variant_null(p), empty).otherwise(F.array(p)))
+    return _let(F.try_variant_get(value, path, "variant"), lambda p: F.when(p.isNull(), empty).otherwise(many(p)))
 
 
 def _with(fn: Callable[[Column, NodeSpec], Column], spec: NodeSpec) -> Callable[[Column], Column]:
@@ -115,15 +117,19 @@ def _hashed(node: Column, spec: NodeSpec) -> Column:
     pairs = [x for name, _ in spec.attrs for x in (F.lit(name), node["attrs"][name])]
     attrs = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
     body = F.struct(node["value"].alias("value"), node["attrs"].alias("attrs"), (F.struct(*[v.alias(k) for k, v in kids.items()]) if kids else F.lit(None).cast("string")).alias("kids"))
-    edges = [F.transform(body["kids"][c.kind], _edge(c)) for c in spec.children]
-    return F.struct(
-        _hash(body, spec).alias("h"),
-        F.lit(spec.kind).alias("kind"),
-        node["value"].alias("value"),
-        attrs.alias("attrs"),
-        (F.concat(*edges) if edges else F.array().cast("array<struct<kind:string,ordinal:bigint,child:binary>>")).alias("edges"),
-        body["kids"].alias("kids"),
-    )
+
+    def whole(b: Column) -> Column:
+        edges = [F.transform(b["kids"][c.kind], _edge(c)) for c in spec.children]
+        return F.struct(
+            _hash(b, spec).alias("h"),
+            F.lit(spec.kind).alias("kind"),
+            b["value"].alias("value"),
+            attrs.alias("attrs"),
+            (F.concat(*edges) if edges else F.array().cast("array<struct<kind:string,ordinal:bigint,child:binary>>")).alias("edges"),
+            b["kids"].alias("kids"),
+        )
+
+    return _let(body, whole)
 
 
 def _flat(node: Column, spec: NodeSpec) -> Column:
@@ -155,12 +161,13 @@ class NestedStore:
 
     def occurrences(self) -> DataFrame:
         """Every node of every record: (record_id, node_kind, parent_no, node_no, node_value), level by level through the bridge."""
-        store = self.objects.select("h", "value", "edges")
+        kinds = _kinds(self.spec)
+        store = lambda d: self.objects.where(F.col("kind").isin(kinds[d])).select("h", "value", "edges")
         level = self.roots.select("record_id", F.lit(0).cast("long").alias("node_no"), F.col("root").alias("h"))
-        level = skew_join(level, store, "h").select("record_id", F.lit(0).cast("long").alias("parent_no"), F.inline("edges"))
-        found, depth = [], _depth(self.spec)
+        level = skew_join(level, store(0), "h").select("record_id", F.lit(0).cast("long").alias("parent_no"), F.inline("edges"))
+        found, depth = [], len(kinds)
         for d in range(1, depth):
-            nodes = skew_join(level.withColumnRenamed("child", "h"), store, "h")
+            nodes = skew_join(level.withColumnRenamed("child", "h"), store(d), "h")
             if d < depth - 1:
                 nodes = materialise(nodes, "nested-level")
                 level = nodes.select("record_id", F.col("ordinal").alias("parent_no"), F.inline("edges"))
@@ -171,8 +178,10 @@ class NestedStore:
         return out
 
 
-def _depth(spec: NodeSpec) -> int:
-    return 1 + max((_depth(c) for c in spec.children), default=0)
+def _kinds(spec: NodeSpec) -> list[list[str]]:
+    """The kinds at each depth."""
+    below = [_kinds(c) for c in spec.children]
+    return [[spec.kind], *[[k for b in below if d < len(b) for k in b[d]] for d in range(max(map(len, below), default=0))]]
 
 
 def store_nested(df: DataFrame, key: str, payload: str, spec: NodeSpec = HARVEST) -> NestedStore:
