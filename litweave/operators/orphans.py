@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litweave.runtime import skew_join, to_utc_ntz
+from litweave.runtime import materialise, skew_join, to_utc_ntz
 
 RANGE_BITS = 12
 #: A reference bitmap with fewer ids than this stays a sorted list of positions (2 bytes each against 512 for the bits).
@@ -145,7 +145,7 @@ def orphans(tables: dict[str, DataFrame], refs: tuple[Reference, ...] = REFERENC
     ids = ids.select("ref_no", "month", names[F.col("ref_no")].alias("parent"), *_split(F.col("ref_id")))
     parents = parent_rows(tables, refs).select("parent", *_split(F.col("id")), "loaded", "deleted")
     left = ids.groupBy("parent", "range_no").cogroup(parents.groupBy("parent", "range_no")).applyInPandas(_survivors, "ref_no int, month int, ref_id long, known boolean, loaded long, deleted long")
-    left = left.withColumn("key", F.col("ref_id"))
+    left = materialise(left.withColumn("key", F.col("ref_id")), "orphan-ids")  # read for hot and other keys
     facts = spark.createDataFrame([(i, r.src_table, r.field) for i, r in enumerate(refs)], "ref_no int, src_table string, ref_field string")
     met = skew_join(rows.withColumn("key", F.col("ref_id")), left.drop("ref_id"), "key", ("ref_no", "month"))
     at = _micros(F.col("loaded_at"))
