@@ -1,9 +1,10 @@
 """Random walks over the hypergraph, many at once.
 
-All walks step together: a step joins the walks' current nodes with the incidence and keeps one hyperedge and one
-node of each walk by weighted sampling. Sampling needs no cumulative scan: of candidates with weights w and uniform
-hashes u, the one with the smallest -ln(u)/w is a draw in proportion to w, and a minimum combines map-side. The
-uniform numbers come from a hash of seed, walk, step and candidate, so walks repeat exactly and survive retries.
+All walks step together. A node's hyperedges are numbered once, within salted groups so that a node with a third of
+all rows is spread; a step draws a number and joins on it, one row a walk whatever the degree. A hyperedge's nodes
+are few, so there the candidates are joined and one is kept: of candidates with weights w and uniform hashes u, the
+one with the smallest -ln(u)/w is a draw in proportion to w, and a minimum combines map-side. The uniform numbers
+come from a hash of seed, walk, step and candidate, so walks repeat exactly and survive retries.
 """
 
 from __future__ import annotations
@@ -64,24 +65,51 @@ def weight_mixture(shares: dict[str, float]) -> Weight:
     return apply
 
 
+#: Groups over which the hyperedges of a node are numbered.
+SALTS = 64
+
+
+def edge_numbers(inc: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(index, nodes): index(t, v, salt, i, e) numbers the hyperedges of each node and salt from 0; nodes(t, v, d, groups) has
+    each node's degree and, for its at most SALTS groups, the number before them."""
+    salted = inc.withColumn("salt", F.pmod(F.xxhash64("e", F.lit(11)), F.lit(SALTS)).cast("int"))
+    index = materialise(salted.withColumn("i", F.row_number().over(Window.partitionBy(*NODE, "salt").orderBy("e")) - 1).select(*NODE, "salt", "i", "e"), "edge-numbers")
+    sizes = index.groupBy(*NODE, "salt").agg(F.count("*").alias("n"))
+    lists = sizes.groupBy(NODE).agg(F.sum("n").alias("d"), F.sort_array(F.collect_list(F.struct("salt", "n"))).alias("g"))
+    before = lambda g, k: F.aggregate(F.slice(g, 1, k), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    groups = F.transform("g", lambda x, k: F.struct(x["salt"].alias("salt"), before(F.col("g"), k).alias("start"), x["n"].alias("n")))
+    return index, materialise(lists.select(*NODE, "d", groups.alias("groups")), "edge-groups")
+
+
+def _pick_edges(here: DataFrame, index: DataFrame, nodes: DataFrame, seed: int, step: int) -> DataFrame:
+    """(walk, ct, cv, e): a hyperedge of each walk's node, all alike."""
+    at = here.select("walk", *NODE).join(nodes, NODE)
+    at = at.withColumn("r", F.floor(uniform(seed, F.col("walk"), step) * F.col("d")))
+    at = at.withColumn("g", F.get(F.filter("groups", lambda g: (g["start"] <= F.col("r")) & (F.col("r") < g["start"] + g["n"])), F.lit(0)))
+    picks = at.select("walk", *NODE, F.col("g.salt").alias("salt"), (F.col("r") - F.col("g.start")).cast("int").alias("i"))
+    return picks.join(index, [*NODE, "salt", "i"]).select("walk", F.col("t").alias("ct"), F.col("v").alias("cv"), "e")
+
+
 def hypergraph_walks(inc: DataFrame, starts: DataFrame, length: int, lazy: bool = True, weight: Weight | None = None, q: float | None = None, seed: int = 42) -> DataFrame:
     """(walk, pos, t, v, e) of walks from starts(walk, t, v); e is the hyperedge that led to the node.
 
-    Non-lazy walks leave their node at each step. With ``q``, hyperedges without the previous node weigh 1/q. A walk
-    ends when no node is eligible; a start without hyperedges is a walk of its start alone.
+    Non-lazy walks leave their node at each step. With ``q``, hyperedges without the previous node weigh 1/q, for
+    which the hyperedges of the current node are compared one by one. A walk ends when no node is eligible; a start without hyperedges is a walk of its start alone.
     """
     here = starts.select("walk", *NODE).withColumn("pos", F.lit(0)).withColumn("e", F.lit(None).cast("long"))
     out = [here]
     prev = None
+    index, degrees = edge_numbers(inc)
     for k in range(1, length):
-        edges = here.select("walk", *NODE).join(inc, NODE).select("walk", "t", "v", "e")
-        w = F.lit(1.0)
-        if q is not None and prev is not None:
+        if q is None or prev is None:
+            picked = _pick_edges(here, index, degrees, seed, 2 * k)
+        else:
+            edges = here.select("walk", *NODE).join(inc, NODE).select("walk", "t", "v", "e")
             back = prev.select("walk", F.col("t").alias("pt"), F.col("v").alias("pv"))
             on_prev = inc.select("e", F.col("t").alias("pt"), F.col("v").alias("pv")).join(back, ["pt", "pv"]).select("walk", "e").distinct().withColumn("same", F.lit(1))
-            edges = edges.join(on_prev, ["walk", "e"], "left")
             w = F.when(F.col("same").isNotNull(), 1.0).otherwise(1.0 / q)
-        picked = edges.groupBy("walk", F.col("t").alias("ct"), F.col("v").alias("cv")).agg(F.min_by("e", _draw(w, seed, F.col("walk"), 2 * k, F.col("e"))).alias("e"))
+            edges = edges.join(on_prev, ["walk", "e"], "left")
+            picked = edges.groupBy("walk", F.col("t").alias("ct"), F.col("v").alias("cv")).agg(F.min_by("e", _draw(w, seed, F.col("walk"), 2 * k, F.col("e"))).alias("e"))
         nodes = picked.join(inc, "e")
         if not lazy:
             nodes = nodes.where((F.col("t") != F.col("ct")) | (F.col("v") != F.col("cv")))

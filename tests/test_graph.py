@@ -235,3 +235,13 @@ def test_models(spark):
     assert np.allclose(layer[1], np.maximum(own / np.linalg.norm(own), 0)) and np.allclose(layer[2], [0, 1])
     assert training.sample_neighbors(edges, 1).count() == 1
     assert sorted(map(tuple, training.positive_pairs(spark.createDataFrame([(0, "1,2"), (1, ""), (2, "0")], "src long, value string")).collect())) == [(0, 1), (0, 2), (2, 0)]
+
+
+def test_edges_are_drawn_alike(spark):
+    inc = spark.createDataFrame([(e, K, 0) for e in range(300)] + [(e, X, 1) for e in range(300)], "e long, t string, v long")
+    n = {}
+    for r in walks.keyword_walks(inc, 6000, 2).where("pos = 1").groupBy("e").count().collect():
+        n[r.e] = r["count"]
+    assert len(n) == 300 and max(n.values()) < 50 and sum(n.values()) == 6000
+    index, nodes = walks.edge_numbers(inc)
+    assert {r.d for r in nodes.collect()} == {300} and index.count() == 600
