@@ -13,6 +13,7 @@ Defined results
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,6 +29,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Cached pre-tokens a worker, and the length in characters up to which they are cached.
 CACHED, CACHED_CHARS = 200_000, 64
+#: Characters from which a text is not split at once.
+LONG = 1_000_000
 
 
 class PrefixBPE:
@@ -38,7 +41,7 @@ class PrefixBPE:
         import regex
 
         self.ranks = ranks
-        self.find = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.length = {i: len(t) for t, i in ranks.items()}
         self.matches = ahocorasick.Automaton()
@@ -47,7 +50,7 @@ class PrefixBPE:
         self.matches.make_automaton()
         self.parts: dict[int, tuple[int, int]] = {}
         self.meets: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, array] = {}
 
     def split(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge makes this one: what is left of its bytes before the last merge."""
@@ -115,16 +118,17 @@ class PrefixBPE:
         out.reverse()
         return out
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of a text."""
+    def encode(self, text: str | None) -> array:
+        """Ids of a text. Pre-tokens of a long text are taken one by one, so that it costs little more than its ids."""
+        out = array("i")
         if not text:
-            return []
-        out: list[int] = []
+            return out
         words = self.words
-        for w in self.find(text):
+        found = self.pattern.findall(text) if len(text) <= LONG else (m.group() for m in self.pattern.finditer(text))
+        for w in found:
             ids = words.get(w)
             if ids is None:
-                ids = self.encode_word(w)
+                ids = array("i", self.encode_word(w))
                 if len(w) <= CACHED_CHARS:
                     if len(words) >= CACHED:
                         words.clear()
@@ -156,7 +160,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(raw.value)
         for batch in batches:
-            ids = [np.asarray(encoder.encode(t.as_py()), np.int32) for t in batch.column(1)]
+            ids = [np.frombuffer(encoder.encode(t.as_py()), np.int32) for t in batch.column(1)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], [key, "ids"])
