@@ -104,6 +104,9 @@ def _month_of(us: np.ndarray) -> np.ndarray:
 
 def _survivors(key: tuple, refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
     """Reference AND-NOT parent for one parent table and id range."""
+    columns = ["ref_no", "month", "ref_id", "known", "loaded", "deleted"]
+    if not len(refs):
+        return pd.DataFrame({c: [] for c in columns})
     size = 1 << RANGE_BITS
     known = np.zeros(size, bool)
     loaded, deleted = np.full(size, _NEVER), np.full(size, _NEVER)
@@ -117,7 +120,7 @@ def _survivors(key: tuple, refs: pd.DataFrame, parents: pd.DataFrame) -> pd.Data
     month = refs["month"].to_numpy()
     order = np.lexsort((refs["pos"].to_numpy(), month, refs["ref_no"].to_numpy()))
     ref_no, month, pos = (refs[c].to_numpy()[order] for c in ("ref_no", "month", "pos"))
-    starts = np.flatnonzero(np.r_[True, (np.diff(ref_no) != 0) | (np.diff(month) != 0)]) if len(pos) else np.empty(0, int)
+    starts = np.flatnonzero(np.r_[True, (np.diff(ref_no) != 0) | (np.diff(month) != 0)])
     standing: dict[int, np.ndarray] = {}
     for a, b in zip(starts, np.r_[starts[1:], len(pos)], strict=True):
         m = int(month[a])
@@ -131,9 +134,9 @@ def _survivors(key: tuple, refs: pd.DataFrame, parents: pd.DataFrame) -> pd.Data
             bits[own] = True
             left = np.flatnonzero(np.unpackbits(np.packbits(bits, bitorder="little") & ~standing[m], bitorder="little"))
         out.append(pd.DataFrame({"ref_no": ref_no[a], "month": np.int32(m), "pos": left.astype(np.int32), "known": known[left], "loaded": loaded[left], "deleted": deleted[left]}))
-    got = pd.concat(out) if out else pd.DataFrame({c: [] for c in ("ref_no", "month", "pos", "known", "loaded", "deleted")})
-    got["ref_id"] = (np.int64(key[1]) << RANGE_BITS) + got.pop("pos").astype(np.int64) if len(got) else np.empty(0, np.int64)
-    return got[["ref_no", "month", "ref_id", "known", "loaded", "deleted"]]
+    got = pd.concat(out)
+    got["ref_id"] = (np.int64(key[1]) << RANGE_BITS) + got["pos"].astype(np.int64)
+    return got[columns]
 
 
 def orphans(tables: dict[str, DataFrame], refs: tuple[Reference, ...] = REFERENCES) -> DataFrame:
