@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +18,26 @@ HOT_PARTS = 256
 _written: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_litweave_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    # the driver serves the file to the executors itself, so its place need not be shared
+    folder = Path(tempfile.mkdtemp(prefix="litweave-"))
+    (folder / "litweave.zip").write_bytes(packed.getvalue())
+    context.addPyFile(str(folder / "litweave.zip"))
+    context._litweave_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

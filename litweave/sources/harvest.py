@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litweave.runtime import ship
+
 #: The parts of a record that are read.
 RECORD_XML = """static_data struct<
   summary: struct<
@@ -57,6 +59,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     One task an archive; members are streamed, records leave in small batches.
     """
 
+    ship(spark)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
