@@ -165,15 +165,15 @@ def propose(text: str, people: People) -> list[tuple[int, int, int, str, str]]:
     """(kind, start, end, form, surname) of all candidates; of the same kind and start, the first pattern counts."""
     out: dict[tuple[int, int, int], tuple[str, str]] = {}
     for k, patterns in enumerate((_EMAIL, _PHONE, _ID, _ADDRESS)):
-        taken: list[tuple[int, int]] = []
+        taken: set[int] = set()  # characters of the spans with a known form
         for form, p in patterns.items():
             if form in _NEEDS and not _NEEDS[form].search(text):
                 continue
             for m in p.finditer(text):
                 a, b = m.span()
                 if form != "odd":
-                    taken.append((a, b))
-                elif any(x < b and a < y for x, y in taken):
+                    taken.update(range(a, b))
+                elif not taken.isdisjoint(range(a, b)):
                     continue
                 out.setdefault((k, a, b), (form, ""))
     for a, b, form, surname in _person_spans(text, people):
@@ -226,9 +226,10 @@ def spans_of(text: str | None, people: People) -> list[dict]:
         while lo < len(strong) and strong[lo][1] < a - 200:
             lo += 1
         near = 0
-        for k, x, y in strong[lo:]:
-            if x > b + 80:
-                break
+        at = lo
+        while at < len(strong) and strong[at][1] <= b + 80:
+            k, x, y = strong[at]
+            at += 1
             if k != kind and y > a - 80 and (y <= a or x >= b):
                 near = 1
                 break
