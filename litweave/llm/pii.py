@@ -394,17 +394,24 @@ def placeholder(kind: int) -> str:
     return f"[{KINDS[kind].upper()}]"
 
 
+def masked_text(text: str | None, spans: list[dict]) -> str | None:
+    """The text with placeholders for disjoint spans in order."""
+    if not spans:
+        return text
+    parts, at = [], 0
+    for s in spans:
+        parts += [text[at : s["a"]], placeholder(s["kind"])]
+        at = s["b"]
+    return "".join([*parts, text[at:]])
+
+
 def mask(docs: DataFrame, model: PiiModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text) of every document with placeholders in place of personal data."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                for s in reversed(known.value.choose(spans_of(t, known.value.people))):
-                    t = t[: s["a"]] + placeholder(s["kind"]) + t[s["b"] :]
-                out.append(t)
+            out = [masked_text(t, known.value.choose(spans_of(t, known.value.people))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], [key, text])
 
     return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, `{text}` string")
