@@ -28,10 +28,13 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
-    # the driver serves the file to the executors itself, so its place need not be shared
-    folder = Path(tempfile.mkdtemp(prefix="litweave-"))
-    (folder / "litweave.zip").write_bytes(packed.getvalue())
-    context.addPyFile(str(folder / "litweave.zip"))
+    path = new_path(spark, "package") + ".zip"
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(context._jsc.hadoopConfiguration()).create(hadoop, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    _written.append((spark, path))
+    context.addPyFile(path)
     context._litweave_shipped = True
 
 
