@@ -43,6 +43,15 @@ def short_sources(totals: DataFrame) -> DataFrame:
     return totals.where(F.col("target_share") * F.col("total") > F.col("max_repeats") * F.col("tokens"))
 
 
+def exhausted_sources(mixed: DataFrame, totals: DataFrame) -> DataFrame:
+    """Listed sources of which the mix holds every token as often as allowed, and still less than their share.
+
+    What is used up is read from the realised mix; the closed formula then sets apart those that only just reach their share.
+    """
+    used = shares(mixed, totals).where(F.col("mix_tokens") >= F.col("max_repeats") * F.col("tokens")).select("source")
+    return short_sources(totals.join(used, "source", "left_semi"))
+
+
 def _poisson_levels(rate: float, cap: int) -> np.ndarray:
     """The level at which the copies of a document reach 1, 2 ... cap."""
     p, total, out = math.exp(-rate), 0.0, []

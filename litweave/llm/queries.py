@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litweave.llm import bpe, ledger, mixing, pii, terms, together
-from litweave.runtime import table
+from litweave.runtime import materialise, table
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -56,8 +56,10 @@ def _sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that cannot reach their share."""
-    return mixing.short_sources(mixing.source_totals(*_sized(spark, sf_dir))).select("source")
+    """Sources that the mix uses up to their cap and that still miss their share."""
+    sized, targets = _sized(spark, sf_dir)
+    mixed = materialise(mixing.mix(sized, targets), "mix")
+    return mixing.exhausted_sources(mixed, materialise(mixing.source_totals(sized, targets), "mix-totals")).select("source")
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,6 +173,23 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), targets).count() == 0
 
 
+def test_exhausted_sources_come_from_the_mix(spark, monkeypatch):
+    rows = [(f"{s}{k}", s, 10) for s, n in (("big", 700), ("small", 20), ("even", 80)) for k in range(n)]
+    df = spark.createDataFrame(rows, "doc_id string, source string, n_tokens long")
+    target = [("big", 0.5, 3), ("small", 0.3, 2), ("even", 0.1, 1), ("none", 0.1, 4)]  # "even" is used up and has its share
+    targets = spark.createDataFrame(target, "source string, target_share double, max_repeats int")
+    totals, mixed = mixing.source_totals(df, targets), mixing.mix(df, targets)
+    assert {r.source for r in mixing.exhausted_sources(mixed, totals).collect()} == {"small", "none"}
+    assert {r.source for r in mixing.exhausted_sources(mixed.where("doc_id <> 'small3' OR copy_no = 1"), totals).collect()} == {"none"}
+    from litweave.llm import queries
+
+    seen = []
+    real = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda *a, **k: seen.append(1) or real(*a, **k))
+    monkeypatch.setattr(queries, "_sized", lambda *a: (df, targets))
+    assert {r.source for r in queries.p9_found(spark, "").collect()} == {"small", "none"} and seen
+
+
 def test_copies_are_poisson():
     levels = mixing._poisson_levels(1.3, 6)
     mean = sum((mixing.LEVELS - x) / mixing.LEVELS for x in levels)
