@@ -34,7 +34,26 @@ def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers.select(F.col("paper_id").alias("doc"), F.posexplode(F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}\p{N}.]+"), F.lit(0))).alias("pos", "token"))
 
 
+def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, sent, words): lower-cased tokens of each sentence of title and abstract; the title is sentence 0."""
+    papers = table(spark, sf_dir, "paper").select(F.col("paper_id").alias("doc"), text.title_and_abstract(F.col("title"), F.col("abstract")).alias("text")).where(F.col("text").isNotNull())
+    split = papers.select("doc", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("sent", "text"))
+    return split.select("doc", "sent", F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)).alias("words")).where(F.size("words") > 0)
+
+
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, pos, token) of lower-cased titles and abstracts, one run of positions a paper."""
+    papers = table(spark, sf_dir, "paper").select(F.col("paper_id").alias("doc"), text.title_and_abstract(F.col("title"), F.col("abstract")).alias("text")).where(F.col("text").isNotNull())
+    return papers.select("doc", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))).alias("pos", "token"))
+
+
+#: Tokens of running text: dots count within a token only.
+WORDS = r"[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*"
 TOK = """tok AS (SELECT doc, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT paper_id AS doc, regexp_extract_all(lower(title), '[\\pL\\pN.]+') AS l FROM paper WHERE title IS NOT NULL))"""
+_NOTE = "CASE WHEN n <> '' AND len(string_split(n, ' ')) < 20 THEN regexp_replace(a, '{0}', '', 'g') ELSE a END AS a FROM (SELECT *, regexp_extract(a, '{0}') AS n FROM {1})"
+_DOCUMENT_TOK = f"""d0 AS (SELECT paper_id AS doc, title, replace(replace(coalesce(abstract, ''), 'Inf', 'inf'), 'All rights reserved.', '') AS a FROM paper WHERE title IS NOT NULL OR abstract IS NOT NULL),
+d1 AS (SELECT doc, title, {_NOTE.format("\\[DOI:(.*)\\]", "d0")}), d2 AS (SELECT doc, title, {_NOTE.format("©(.*)\\.", "d1")}),
+tok AS (SELECT doc, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc, regexp_extract_all(lower(coalesce(title, '') || '. ' || a), '{WORDS}') AS l FROM d2))"""
 _GRAM = TOK + ", gr AS (SELECT a.token AS center, b.token AS context, count(*) AS n FROM tok a JOIN tok b ON a.doc = b.doc AND b.pos BETWEEN a.pos - 4 AND a.pos + 4 AND b.pos <> a.pos GROUP BY 1, 2)"
 WINDOW = 9
 
@@ -74,6 +93,39 @@ def frequent_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textstats.frequent_vocabulary(unigram(spark, sf_dir), 20)
 
 
+# The same statistics over the whole text of a paper: titles with abstracts. The queries above are those of titles, as their SQL has it.
+
+
+@query(ORACLE["unigram"].replace(TOK, _DOCUMENT_TOK))
+def unigram_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textstats.unigrams(document_tokens(spark, sf_dir))
+
+
+@query(ORACLE["vocabulary_first_seen"].replace(TOK, _DOCUMENT_TOK))
+def vocabulary_first_seen_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textstats.vocabulary(document_tokens(spark, sf_dir))
+
+
+@query(ORACLE["skipgram"].replace(TOK, _DOCUMENT_TOK))
+def skipgram_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textstats.skipgrams(document_tokens(spark, sf_dir), WINDOW)
+
+
+@query(ORACLE["sppmi"].replace(TOK, _DOCUMENT_TOK))
+def sppmi_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textstats.sppmi(materialise(skipgram_documents(spark, sf_dir), "grams"), WINDOW).withColumn("v", F.round("v", 9)).where(F.col("v") > 0)
+
+
+@query(ORACLE["most_similar_terms"].replace(TOK, _DOCUMENT_TOK))
+def most_similar_terms_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textstats.similar_terms(materialise(skipgram_documents(spark, sf_dir), "grams"), "polarization").withColumn("sim", F.round("sim", 9))
+
+
+@query(ORACLE["frequent_vocabulary"].replace(TOK, _DOCUMENT_TOK))
+def frequent_vocabulary_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textstats.frequent_vocabulary(unigram_documents(spark, sf_dir), 20)
+
+
 @query(f"WITH {EVENTS} SELECT token, count(*) AS n FROM ev WHERE token <> 'signup' GROUP BY token")
 def walk_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textstats.walk_token_counts(event_tokens(spark, sf_dir), "signup")
@@ -173,16 +225,16 @@ def composition_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 # models
 
 
-def _title_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(token, vec, out_vec, n) of title tokens from spectral PPMI."""
-    tokens = title_tokens(spark, sf_dir)
+def _document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token, vec, out_vec, n) of the tokens of titles and abstracts from spectral PPMI."""
+    tokens = document_tokens(spark, sf_dir)
     ppmi = materialise(textstats.sppmi(materialise(textstats.skipgrams(tokens, WINDOW), "grams"), 1.0), "ppmi")
-    return materialise(training.spectral(ppmi, 8, 4).join(textstats.unigrams(tokens), "token"), "title-vectors")
+    return materialise(training.spectral(ppmi, 8, 4).join(textstats.unigrams(tokens), "token"), "document-vectors")
 
 
 @query()
 def spectral_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _title_vectors(spark, sf_dir)
+    return _document_vectors(spark, sf_dir)
 
 
 @query(f"""WITH {TOK}, u AS (SELECT token, count(*) AS n FROM tok GROUP BY token), b AS (SELECT a.token AS first, b.token AS second, count(*) AS n FROM tok a JOIN tok b ON a.doc = b.doc AND b.pos = a.pos + 1 GROUP BY 1, 2)
@@ -191,6 +243,17 @@ def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.phrases(title_tokens(spark, sf_dir)).withColumn("score", F.round("score", 9)).where(F.col("score") > 10)
 
 
+@query(ORACLE["phrases"].replace(TOK, _DOCUMENT_TOK))
+def phrases_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.phrases(document_tokens(spark, sf_dir)).withColumn("score", F.round("score", 9)).where(F.col("score") > 10)
+
+
+@query()
+def word2vec_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors trained on every sentence of titles and abstracts."""
+    return training.word2vec(document_sentences(spark, sf_dir), "words", 16)
+
+
 @query()
 def word2vec_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "paper").where(F.col("title").isNotNull()).select(F.split(F.lower("title"), r"\s+").alias("words"))
@@ -199,8 +262,8 @@ def word2vec_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sentence_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = title_tokens(spark, sf_dir).select("doc", F.lit(0).alias("sent"), "token")
-    return vectors.sentence_vectors(tokens, _title_vectors(spark, sf_dir))
+    tokens = document_sentences(spark, sf_dir).select("doc", "sent", F.explode("words").alias("token"))
+    return vectors.sentence_vectors(tokens, _document_vectors(spark, sf_dir))
 
 
 @query()
@@ -213,21 +276,21 @@ def author_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def author_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalog(spark, sf_dir)
-    own = title_tokens(spark, sf_dir).withColumnRenamed("doc", "paper_id").join(c.paper_author.where(F.col("author_id").isNotNull()).distinct(), "paper_id").join(c.paper.select("paper_id", "year"), "paper_id")
-    return vectors.author_similarity(own.select(F.col("author_id").alias("author"), F.col("paper_id").alias("paper"), "year", "token"), PROPERTY.split(), _title_vectors(spark, sf_dir))
+    own = document_tokens(spark, sf_dir).withColumnRenamed("doc", "paper_id").join(c.paper_author.where(F.col("author_id").isNotNull()).distinct(), "paper_id").join(c.paper.select("paper_id", "year"), "paper_id")
+    return vectors.author_similarity(own.select(F.col("author_id").alias("author"), F.col("paper_id").alias("paper"), "year", "token"), PROPERTY.split(), _document_vectors(spark, sf_dir))
 
 
 @query()
 def predict_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities by the vectors of their names in titles."""
+    """Entities by the vectors of their names in titles and abstracts."""
     names = catalog(spark, sf_dir).entity.where(F.col("name").isNotNull()).select(F.col("entity_id").alias("v"), F.lower("name").alias("token")).dropDuplicates(["token"])
-    return embedding_predictor(graph(spark, sf_dir), _title_vectors(spark, sf_dir), names, "polarization")(2012, scores=True)
+    return embedding_predictor(graph(spark, sf_dir), _document_vectors(spark, sf_dir), names, "polarization")(2012, scores=True)
 
 
 @query()
 def predict_author_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = author_vectors(spark, sf_dir).select(F.concat(F.lit("a_"), F.col("author").cast("string")).alias("token"), "vec")
-    kw = _title_vectors(spark, sf_dir).where(F.col("token") == "polarization").select("token", "vec")
+    kw = _document_vectors(spark, sf_dir).where(F.col("token") == "polarization").select("token", "vec")
     return author_embedding_predictor(e.unionByName(kw), "polarization")(scores=True)
 
 
