@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litweave.functions import text
-from litweave.operators import evaluate, textstats, training, vectors
+from litweave.operators import evaluate, formulas, textstats, training, vectors
 from litweave.plans.graph_queries import EVENTS, event_tokens
 from litweave.plans.common import BASE, PROPERTY, catalog, graph, recent
 from litweave.plans.predictors import author_embedding_predictor, embedding_predictor, walk_predictor
@@ -146,11 +146,11 @@ def author_of_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def merged_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title tokens with split formulas joined again, for the most frequent names (a bounded list)."""
+    """(paper_id, field, tokens): tokens of titles and abstracts with split formulas, in any number of pieces, joined again."""
     c = catalog(spark, sf_dir)
-    names = c.paper_entity.groupBy("entity_id").agg(F.count("*").alias("n")).join(c.entity, "entity_id").where(F.col("name").isNotNull()).orderBy(F.desc("n"), "entity_id").limit(500)
-    terms = F.broadcast(names.agg(F.collect_set("name").alias("terms")))
-    return c.paper.where(F.col("title").isNotNull()).join(terms).select("paper_id", text.merge_split_terms(F.split("title", r"\s+"), F.col("terms")).alias("tokens"))
+    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("title", "abstract")])).alias("f")
+    texts = c.paper.select("paper_id", fields).select("paper_id", "f.field", "f.text")
+    return formulas.merge_split_terms(texts, c.entity)
 
 
 # vectors
