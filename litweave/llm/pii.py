@@ -6,7 +6,8 @@ reliability table a labeler) gives each pattern its probability. A logistic span
 probabilities from the votes and the neighbouring words, and decides; of overlapping spans the likelier one stays.
 
 Every text is read whole. Vote counts cover all candidates; only the classifier's fit uses a sample (FIT_SPANS a
-kind). The gazetteer is read from a table of people and bounded by GAZETTEER names, the most frequent first.
+kind). The gazetteer is read from a table of people. A document gets the given names among its own capitalised tokens:
+by broadcast when there are at most GAZETTEER names, else by a join of the tokens with the whole table of names.
 
 Defined results
     * text null, empty or without candidates: no spans, and the text unchanged.
@@ -21,7 +22,7 @@ import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache, lru_cache
 
 import numpy as np
@@ -30,7 +31,7 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litweave.runtime import materialise, spread
+from litweave.runtime import materialise, skew_join, spread
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 LABELERS = ("shape", "gazetteer", "before", "after", "near")
@@ -134,18 +135,66 @@ class People:
         return 1 if min(fit) == 2 else -1 if max(fit) == 0 else 0
 
 
+def given_names(people: DataFrame, given: str = "given_name") -> DataFrame:
+    """(w): every given name (first word) of a table of people, plain; written once."""
+    first = F.lower(F.regexp_extract(F.col(given), r"^\p{L}+(?:-\p{L}+)*(?=\s|$)", 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([plain(w) for w in batch.column(0).to_pylist()], pa.string())], ["w"])
+
+    return materialise(people.select(first.alias("w")).where(F.length("w") > 1).distinct().mapInArrow(run, "w string").distinct(), "pii-names")
+
+
 def gazetteer(people: DataFrame, given: str = "given_name", surname: str = "surname") -> People:
-    """Given names (first word) and surname parts of a table of people; the most frequent GAZETTEER of each."""
+    """Given names (first word) and surname parts of a table of people, in memory: for tables with up to GAZETTEER names."""
+    known, names = split_gazetteer(people, given, surname)
+    if names is not None:
+        raise ValueError(f"more than {GAZETTEER} given names: use split_gazetteer and with_names")
+    return known
+
+
+def split_gazetteer(people: DataFrame, given: str = "given_name", surname: str = "surname") -> tuple[People, DataFrame | None]:
+    """Given names and surname parts of a table of people, and the table of given names where it is too large to broadcast.
+
+    In that case the names of ``People`` are empty. Surname parts are three letters long and vote only.
+    """
 
     def top(df: DataFrame, least: int) -> list[str]:
         rows = df.where(F.length("w") > 1).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least)
         return [r["w"] for r in rows.orderBy(F.desc("n"), "w").limit(GAZETTEER).select("w").collect()]
 
-    first = F.regexp_extract(F.col(given), r"^\p{L}+(?:-\p{L}+)*(?=\s|$)", 0)
     parts = people.select(F.explode(F.split(F.col(surname), r"[\s-]+")).alias("w")).where(F.length("w") > 3)
-    names = top(people.select(F.lower(first).alias("w")), 1)
+    names = given_names(people, given)
+    large = names.count() > GAZETTEER
     heads, tails = top(parts.select(F.lower(F.substring("w", 1, 3)).alias("w")), 2), top(parts.select(F.lower(F.expr("right(w, 3)")).alias("w")), 2)
-    return People(frozenset(plain(n) for n in names), frozenset(map(plain, heads)), frozenset(map(plain, tails)))
+    own = frozenset() if large else frozenset(r["w"] for r in names.collect())
+    return People(own, frozenset(map(plain, heads)), frozenset(map(plain, tails))), names if large else None
+
+
+def looked_up(text: str) -> set[str]:
+    """Every word of a text that ``_person_spans`` may look for among the given names."""
+    tokens = list(_TOKEN.finditer(text))
+    ahead = (_AHEAD.search(text[max(0, m.start() - 120) : m.start()]) for m in [*tokens, *_INIT.finditer(text)])
+    return {plain(m.group()) for m in tokens} | {plain(m.group(1)) for m in ahead if m}
+
+
+def with_names(docs: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with ``given``: the known given names among the capitalised tokens of the text.
+
+    Tokens are joined with the names by shuffle; equal texts are looked up once, under a hash of the text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = sorted(looked_up(t))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(words), pa.string()), pa.array(words, pa.string())], ["__text", "w"])
+
+    keyed = docs.withColumn("__text", F.sha2(text, 256))
+    tokens = spread(keyed.where(F.col(text).isNotNull()).select("__text", text)).mapInArrow(run, "__text string, w string").distinct()
+    given = skew_join(materialise(tokens, "pii-tokens"), names, "w").groupBy("__text").agg(F.collect_list("w").alias("given"))
+    return keyed.join(given, "__text", "left").drop("__text")
 
 
 def _person_spans(text: str, people: People) -> Iterator[tuple[int, int, str, str]]:
@@ -298,10 +347,14 @@ def _matrix(votes: list[str], ctx: list[list[int]]) -> np.ndarray:
 
 @dataclass
 class PiiModel:
-    """The gazetteer and the classifier's weights by kind."""
+    """The gazetteer, the classifier's weights by kind, and on the driver the table of names where it is not broadcast."""
 
     people: People
     weights: dict[int, np.ndarray]
+    names: DataFrame | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"names": None}
 
     def choose(self, spans: list[dict]) -> list[dict]:
         """The spans taken as personal data, without overlaps: the likelier first, then the longer."""
@@ -329,18 +382,27 @@ class PiiModel:
         return taken[::-1]
 
 
-def candidate_spans(docs: DataFrame, people: People, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, spans): the candidates of every document that has some."""
+def _people_of(people: People, batch: pa.RecordBatch) -> Iterator[People]:
+    """The people to use for each document: with its own given names where the batch has them as a third column."""
+    if batch.num_columns < 3:
+        yield from (people for _ in range(batch.num_rows))
+    else:
+        yield from (replace(people, given=frozenset(g or ())) for g in batch.column(2).to_pylist())
+
+
+def candidate_spans(docs: DataFrame, people: People, key: str = "doc_id", text: str = "text", names: DataFrame | None = None) -> DataFrame:
+    """(key, spans): the candidates of every document that has some. ``names``: given names too many to broadcast."""
     known = docs.sparkSession.sparkContext.broadcast(people)  # bounded by GAZETTEER
     kind = pa.struct([("kind", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("run", pa.string()), ("votes", pa.string()), ("ctx", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [spans_of(t.as_py(), known.value) for t in batch.column(1)]
+            spans = [spans_of(t.as_py(), p) for t, p in zip(batch.column(1), _people_of(known.value, batch), strict=True)]
             keep = pa.array([bool(s) for s in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(kind))], [key, "spans"]).filter(keep)
 
-    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, spans {SPANS}")
+    own = docs.select(key, text)
+    return spread(own if names is None else with_names(own, names, text)).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, spans {SPANS}")
 
 
 def train(spans: DataFrame, people: People, key: str = "doc_id") -> PiiModel:
@@ -366,9 +428,9 @@ def train(spans: DataFrame, people: People, key: str = "doc_id") -> PiiModel:
 
 def fit(docs: DataFrame, people: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[PiiModel, DataFrame]:
     """The model, and the candidates it was fitted on (written once: texts are read a single time)."""
-    names = gazetteer(people)
-    spans = materialise(candidate_spans(docs, names, key, text), "pii-spans")
-    return train(spans, names, key), spans
+    known, names = split_gazetteer(people)
+    spans = materialise(candidate_spans(docs, known, key, text, names), "pii-spans")
+    return replace(train(spans, known, key), names=names), spans
 
 
 def found_spans(model: PiiModel, spans: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -411,7 +473,9 @@ def mask(docs: DataFrame, model: PiiModel, key: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [masked_text(t, known.value.choose(spans_of(t, known.value.people))) for t in batch.column(1).to_pylist()]
+            pairs = zip(batch.column(1).to_pylist(), _people_of(known.value.people, batch), strict=True)
+            out = [masked_text(t, known.value.choose(spans_of(t, p))) for t, p in pairs]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], [key, text])
 
-    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, `{text}` string")
+    own = docs.select(key, text)
+    return spread(own if model.names is None else with_names(own, model.names, text)).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, `{text}` string")

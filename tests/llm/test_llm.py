@@ -269,3 +269,24 @@ def test_no_personal_data(spark):
         model, spans = pii.fit(docs, people_table(spark).limit(0))
         assert pii.found_spans(model, spans).count() == 0
     assert {r.text for r in pii.mask(df, model).collect()} == {"nothing here", None}
+
+
+def test_names_beyond_the_broadcast_bound(spark, monkeypatch):
+    names = ["Greta", "Tarek", "Ana-Lise", "Zorvane", "al-Karim"]
+    people = spark.createDataFrame([(n, "Tarnov") for n in names for _ in range(2 if n == "Greta" else 1)], "given_name string, surname string")
+    texts = ["ask Zorvane Tarnov abt the key", "Dear Greta Tarnov,", "Ana-Lise Velkar and Tarek Tarnov", "al-Karim Greta Tarnov", None, "", "no names", "Dear Greta Tarnov,"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def candidates() -> dict:
+        known, large = pii.split_gazetteer(people)
+        assert (large is not None) == (pii.GAZETTEER < len(names))
+        return {r.doc_id: [(s.kind, s.a, s.b, s.votes) for s in r.spans] for r in pii.candidate_spans(docs, known, names=large).collect()}
+
+    whole = candidates()
+    assert any(s[0] == 4 for s in whole[0])
+    model, spans = pii.fit(docs, people)
+    found, masked = sorted(pii.found_spans(model, spans).collect()), sorted(pii.mask(docs, model).collect())
+    monkeypatch.setattr(pii, "GAZETTEER", 1)
+    assert candidates() == whole
+    model, spans = pii.fit(docs, people)
+    assert sorted(pii.found_spans(model, spans).collect()) == found and sorted(pii.mask(docs, model).collect()) == masked
