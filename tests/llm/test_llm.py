@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import random
+import time
 import unicodedata
 from collections import Counter, defaultdict
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 import regex
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("litweave.llm")
 
+from heldout import FRESH, HELD_OUT, PAIRS  # noqa: E402
+
 from litweave.llm import bpe, ledger, mixing, pii, terms, together  # noqa: E402
 
 # copies
@@ -198,7 +202,7 @@ def test_copies_are_poisson():
 
 # personal data
 
-PEOPLE = pii.People(frozenset({"greta", "tarek", "ana-lise"}), frozenset({"tar", "vel", "mor", "kes"}), frozenset({"nov", "bys", "kar", "ist"}))
+PEOPLE = pii.People(frozenset({"greta", "tarek", "ana-lise"}), frozenset({"tarnov", "velbys", "morkar", "kesist"}))
 SAID = {
     "ask Greta Tarnov abt the key, 01632 960347": {("person", "Greta Tarnov"), ("phone", "01632 960347")},
     "Dear Dr. VELBYS-MORNOV Tarek,": {("person", "VELBYS-MORNOV Tarek")},
@@ -237,9 +241,11 @@ def people_table(spark):
 
 def test_gazetteer(spark):
     known = pii.gazetteer(people_table(spark))
-    assert known.given == PEOPLE.given and known.starts == PEOPLE.starts and known.ends >= PEOPLE.ends
-    empty = pii.gazetteer(people_table(spark).limit(0))
-    assert empty == pii.People(frozenset(), frozenset(), frozenset())
+    assert known == PEOPLE
+    assert [known.surname_vote(x) for x in ("Tarnov", "van der TARNOV-Velbys", "Tarnow", "The", "Velbys The")] == [1, 1, 0, -1, -1]
+    assert pii.gazetteer(people_table(spark).limit(0)) == pii.People(frozenset(), frozenset())
+    several = spark.createDataFrame([("Eva Lotte", "de la Cruz-Müller"), ("  ", " "), ("Al", None)], "given_name string, surname string")
+    assert pii.gazetteer(several) == pii.People(frozenset({"eva", "al"}), frozenset({"cruz", "muller"}))
 
 
 def test_personal_data(spark, corpus):
@@ -279,7 +285,7 @@ def test_names_beyond_the_broadcast_bound(spark, monkeypatch):
 
     def candidates() -> dict:
         known, large = pii.split_gazetteer(people)
-        assert (large is not None) == (pii.GAZETTEER < len(names))
+        assert (large is not None) == (pii.GAZETTEER < len(names) + 1)
         return {r.doc_id: [(s.kind, s.a, s.b, s.votes) for s in r.spans] for r in pii.candidate_spans(docs, known, names=large).collect()}
 
     whole = candidates()
@@ -290,3 +296,42 @@ def test_names_beyond_the_broadcast_bound(spark, monkeypatch):
     assert candidates() == whole
     model, spans = pii.fit(docs, people)
     assert sorted(pii.found_spans(model, spans).collect()) == found and sorted(pii.mask(docs, model).collect()) == masked
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    path = "/root/testdata/sf0.01"
+    if not Path(path).exists():
+        pytest.skip("no test tables")
+    return pii.fit(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/author.parquet"))[0]
+
+
+def _chosen(model, text):
+    return {(pii.KINDS[s["kind"]], s["run"]) for s in model.choose(pii.spans_of(text, model.people))}
+
+
+def test_held_out_sentences(fitted):
+    """Recall and precision of each kind on sentences of other wording, after fitting on documents alone."""
+    both, said, true = Counter(), Counter(), Counter()
+    for text, want in HELD_OUT + FRESH:
+        got = _chosen(fitted, text)
+        for counts, found in ((both, got & want), (said, got), (true, want)):
+            counts.update(k for k, _ in found)
+    for kind in pii.KINDS:
+        assert both[kind] >= 0.9 * true[kind] and both[kind] >= 0.9 * said[kind], (kind, both[kind], said[kind], true[kind])
+
+
+def test_numbers_in_use_are_found_like_those_of_fiction(fitted):
+    for text, *numbers in PAIRS:
+        for n in numbers:
+            assert n in {run for _, run in _chosen(fitted, text.format(n))}, text.format(n)
+
+
+def test_long_texts_cost_in_proportion():
+    for piece in ("020 7946 0929 ", "7 ", "Greta Tarnov ", "A. B. ", "x@y.example ", "12 Oak Street, ", "123-45-6789 "):
+        began = time.time()
+        pii.spans_of(piece * 5_000, PEOPLE)
+        short = time.time() - began
+        began = time.time()
+        pii.spans_of(piece * 20_000, PEOPLE)
+        assert time.time() - began < 12 * short + 0.5, piece
