@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import atexit
 import io
+import math
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds at least 1/HOT_PARTS of the rows, so there are never more than HOT_PARTS hot keys.
+#: A key is hot when it holds about 1/HOT_PARTS of the rows or more.
 HOT_PARTS = 256
 
 _written: list[tuple[SparkSession, str]] = []
@@ -45,9 +48,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder every executor can reach: spark.checkpoint.dir. Only a local session may go without it (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="litweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -56,7 +62,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """An unused path in the shared folder, removed when the driver exits."""
+    """An unused path in the shared folder, removed when the driver exits or the enclosing ``scratch`` ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path
@@ -76,9 +82,9 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-@atexit.register
-def _cleanup() -> None:
-    for spark, path in _written:
+def _remove(kept: int) -> None:
+    while len(_written) > kept:
+        spark, path = _written.pop()
         try:
             if spark.sparkContext._jsc is not None:
                 delete_path(spark, path)
@@ -86,6 +92,22 @@ def _cleanup() -> None:
             return
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are removed at the end, when the results have been taken: for long sessions."""
+    ship(spark)
+    kept = len(_written)
+    try:
+        yield
+    finally:
+        _remove(kept)
+
+
+@atexit.register
+def _cleanup() -> None:
+    _remove(0)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy stages at least two tasks a core. Inputs that already have as many splits are not shuffled.
 
@@ -95,36 +117,44 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
 
-def hot_keys(df: DataFrame, key: str, parts: int = HOT_PARTS) -> list:
-    """Keys holding at least 1/parts of the rows (nulls aside): at most ``parts`` values, whatever the input.
+def hot_keys(df: DataFrame, key: str, parts: int = HOT_PARTS) -> dict[int, float]:
+    """Hashes of the keys holding about 1/parts of the rows or more (nulls aside), with their share: at most 2 * parts.
 
-    The counts are combined map-side, so a hot key costs one row per task in the shuffle.
+    One pass with a mergeable sketch: nothing is shuffled but a sketch a task. The sketch may over- or underrate a share
+    by a thousandth of the rows; the answer only decides how a join is laid out, never its result.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
-    total = counts.agg(F.sum("__n")).first()[0] or 0
-    if total < 100 * parts:
-        return []
-    return [r[0] for r in counts.where(F.col("__n") >= total / parts).select(key).collect()]
+    hashed = df.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h"))
+    row = hashed.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h, {2 * parts}, {16 * parts})").alias("top")).first()
+    if not row["n"] or row["n"] < 100 * parts:
+        return {}
+    return {r["item"]: r["count"] / row["n"] for r in row["top"] if r["count"] * parts >= row["n"]}
+
+
+def _salt(df: DataFrame, key: str, salts: Column, seed: int) -> Column:
+    """A number below ``salts`` from the row's other columns (so a retried task gives the same), 0 for most keys."""
+    others = [c for c, t in df.dtypes if c != key and "map<" not in t and t != "variant"]
+    return F.when(salts > 1, F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in others]), salts)).otherwise(0).cast("int")
 
 
-def skew_join(big: DataFrame, small: DataFrame, key: str, also: tuple[str, ...] = (), how: str = "inner", rows_per_key: int = 1000) -> DataFrame:
-    """Join ``big`` (any skew on ``key``) with ``small``, which has few rows a key.
+def skew_join(big: DataFrame, small: DataFrame, key: str, also: tuple[str, ...] = (), how: str = "inner") -> DataFrame:
+    """Join ``big`` (any skew on ``key``) with ``small``, which has few rows a key, in one pass over both.
 
-    Hot keys of ``big`` are joined by broadcasting only their rows of ``small``: at most HOT_PARTS keys times
-    ``rows_per_key`` rows, counted before the broadcast; keys beyond that bound stay with the shuffled join.
-    All other keys are joined by shuffling both sides. ``how`` is inner or left.
+    Rows of a hot key of ``big`` are spread over as many salts as its share of twice the shuffle partitions; its rows of
+    ``small`` are repeated for each salt, so ``small`` grows by at most that number of rows times its rows a key.
+    Nothing is broadcast. ``how`` is inner or left.
     """
     on = [key, *also]
     hot = hot_keys(big, key)
-    if hot and also:
-        found = small.where(F.col(key).isin(hot)).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > rows_per_key).select(key).collect()
-        hot = [k for k in hot if k not in {r[0] for r in found}]
     if not hot:
         return big.join(small, on, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    near = big.where(is_hot).join(F.broadcast(small.where(is_hot)), on, how)
-    far = big.where(~is_hot).join(small.where(~is_hot), on, how)
-    return near.unionByName(far)
+    partitions = max(8, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    number = {h: max(2, math.ceil(2 * share * partitions)) for h, share in hot.items()}
+    table = F.create_map(*[F.lit(x) for h, n in number.items() for x in (h, n)])
+    salts = F.when(F.xxhash64(key).isin(list(number)), F.try_element_at(table, F.xxhash64(key))).otherwise(1)
+    left = big.withColumn("__salts", salts)
+    left = left.withColumn("__salt", _salt(big, key, F.col("__salts"), 11)).drop("__salts")
+    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
 def to_utc_ntz(col: Column) -> Column:

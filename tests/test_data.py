@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections import Counter, defaultdict
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,12 +202,29 @@ def test_key_profile(spark):
 def test_hot_keys_join(spark):
     from litweave import runtime
 
-    big = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"))
-    small = spark.range(0, 60_000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x")).unionByName(spark.createDataFrame([(1, 5)], "k long, x long"))
-    assert runtime.hot_keys(big, "k") == [1]
-    want = big.join(small, "k").groupBy().agg(F.count("*"), F.sum("x")).first()
-    assert runtime.skew_join(big, small, "k").groupBy().agg(F.count("*"), F.sum("x")).first() == want
-    assert runtime.skew_join(big.unionByName(spark.createDataFrame([(None,)], "k long")), small, "k", how="left").count() == 60_001
+    big = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("y"))
+    small = spark.range(0, 60_000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x")).unionByName(spark.createDataFrame([(1, 5), (1, 6)], "k long, x long"))
+    hot = runtime.hot_keys(big, "k")
+    assert set(hot) == {spark.range(1).select(F.xxhash64(F.lit(1).cast("long"))).first()[0]} and next(iter(hot.values())) == pytest.approx(1 / 3, abs=0.01)
+    want = big.join(small, "k").groupBy().agg(F.count("*"), F.sum("x"), F.sum("y")).first()
+    joined = runtime.skew_join(big, small, "k")
+    assert joined.columns == ["k", "y", "x"] and joined.groupBy().agg(F.count("*"), F.sum("x"), F.sum("y")).first() == want
+    null = spark.createDataFrame([(None, None)], "k long, y long")
+    assert runtime.skew_join(big.unionByName(null), small, "k", how="left").count() == big.join(small, "k", "left").count() + 1
+    alone = big.select("k")  # nothing to salt by: repeated rows stay together
+    assert runtime.skew_join(alone, small, "k").count() == want[0]
+    text = big.select(F.col("k").cast("string").cast("binary").alias("k"), "y")
+    assert runtime.skew_join(text, small.select(F.col("k").cast("string").cast("binary").alias("k"), "x"), "k").count() == want[0]
+
+
+def test_scratch_removes_what_was_written_inside(spark):
+    from litweave import runtime
+
+    with runtime.scratch(spark):
+        df = runtime.materialise(spark.range(10), "kept")
+        path = df.inputFiles()[0].removeprefix("file:")
+        assert Path("/" + path.lstrip("/")).exists() and df.count() == 10
+    assert not Path("/" + path.lstrip("/")).exists()
 
 
 @pytest.mark.parametrize("null", [True, False])
@@ -214,4 +232,4 @@ def test_hot_keys_of_nothing(spark, null):
     from litweave import runtime
 
     df = spark.createDataFrame([(None,)] if null else [], "k long")
-    assert runtime.hot_keys(df, "k") == []
+    assert runtime.hot_keys(df, "k") == {}
