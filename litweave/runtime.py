@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import atexit
 import io
+import json
 import math
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds about 1/HOT_PARTS of the rows or more.
@@ -123,11 +125,31 @@ def hot_keys(df: DataFrame, key: str, parts: int = HOT_PARTS) -> dict[int, float
     One pass with a mergeable sketch: nothing is shuffled but a sketch a task. The sketch may over- or underrate a share
     by a thousandth of the rows; the answer only decides how a join is laid out, never its result.
     """
-    hashed = df.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h"))
-    row = hashed.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h, {2 * parts}, {16 * parts})").alias("top")).first()
+    return _shares(df.agg(*_sketch(key, parts)).first().asDict(), parts)
+
+
+def watch_keys(df: DataFrame, key: str, parts: int = HOT_PARTS) -> tuple[DataFrame, Callable[[], dict[int, float]]]:
+    """The same rows, and what ``hot_keys`` says of them once an action has read them: no pass of its own."""
+    seen = Observation()
+
+    def said() -> dict[int, float]:
+        try:
+            return _shares(seen.get, parts)
+        except Py4JJavaError:  # the planner found the input empty and left the observation out
+            return {}
+
+    return df.observe(seen, *_sketch(key, parts)), said
+
+
+def _sketch(key: str, parts: int) -> list[Column]:
+    item = F.when(F.col(key).isNotNull(), F.xxhash64(key))
+    return [F.count(key).alias("n"), F.to_json(F.call_function("approx_top_k", item, F.lit(2 * parts), F.lit(16 * parts))).alias("top")]
+
+
+def _shares(row: dict, parts: int) -> dict[int, float]:
     if not row["n"] or row["n"] < 100 * parts:
         return {}
-    return {r["item"]: r["count"] / row["n"] for r in row["top"] if r["count"] * parts >= row["n"]}
+    return {r["item"]: r["count"] / row["n"] for r in json.loads(row["top"]) if r.get("item") is not None and r["count"] * parts >= row["n"]}
 
 
 def _salt(df: DataFrame, key: str, salts: Column, seed: int) -> Column:
@@ -136,15 +158,15 @@ def _salt(df: DataFrame, key: str, salts: Column, seed: int) -> Column:
     return F.when(salts > 1, F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in others]), salts)).otherwise(0).cast("int")
 
 
-def skew_join(big: DataFrame, small: DataFrame, key: str, also: tuple[str, ...] = (), how: str = "inner") -> DataFrame:
+def skew_join(big: DataFrame, small: DataFrame, key: str, also: tuple[str, ...] = (), how: str = "inner", hot: dict[int, float] | None = None) -> DataFrame:
     """Join ``big`` (any skew on ``key``) with ``small``, which has few rows a key, in one pass over both.
 
     Rows of a hot key of ``big`` are spread over as many salts as its share of twice the shuffle partitions; its rows of
     ``small`` are repeated for each salt, so ``small`` grows by at most that number of rows times its rows a key.
-    Nothing is broadcast. ``how`` is inner or left.
+    Nothing is broadcast. ``how`` is inner or left; ``hot`` is what ``hot_keys`` or ``watch_keys`` said, if known.
     """
     on = [key, *also]
-    hot = hot_keys(big, key)
+    hot = hot_keys(big, key) if hot is None else hot
     if not hot:
         return big.join(small, on, how)
     partitions = max(8, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))

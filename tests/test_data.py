@@ -174,6 +174,27 @@ def test_orphans(spark):
     assert {r.n_cases for r in orphans.orphan_report(found).where("reason = 'missing' AND period = '2020-02'").collect()} == {sum(w[5] == "missing" and w[4] == "2020-02" for w in want)}
     assert orphans.orphans({**tables, "m": tables["m"].limit(0)}, ref).count() == 0
     assert {r.reason for r in orphans.orphans({**tables, "author": tables["author"].limit(0)}, ref).collect()} == {"missing"}
+    # keys that are no integers go through the dictionary
+    named = {
+        "m": tables["m"].withColumn("author_id", F.concat(F.lit("A"), "author_id")),
+        "author": tables["author"].withColumn("author_id", F.concat(F.lit("A"), "author_id")),
+    }
+    assert Counter(map(tuple, orphans.orphans(named, ref).collect())) == Counter((*w[:2], f"A{w[2]}", str(w[3]), *w[4:]) for w in want)
+
+
+def test_words_without_ids_are_not_stored(spark):
+    rows = spark.createDataFrame([(0, 1, c) for c in (0, 63, 64, 64, -1, 10**15, 0)], "ref_no int, month int, code long")
+    got = {r.word_no: r.bits & (2**64 - 1) for r in orphans.reference_words(rows).collect()}
+    assert got == {0: 1 | 1 << 63, 1: 1, -1: 1 << 63, 10**15 >> 6: 1 << (10**15 & 63)}
+
+
+def test_watched_keys(spark):
+    from litweave import runtime
+
+    big = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"))
+    df, hot = runtime.watch_keys(big, "k")
+    df.write.format("noop").mode("overwrite").save()
+    assert set(hot()) == set(runtime.hot_keys(big, "k"))
 
 
 def test_encode_keys(spark):
