@@ -6,7 +6,7 @@ are those without failure (anti-join).
 
 Defined results
     * line null: ``column_count`` (it has no six values). Empty line: one value, so ``column_count``.
-    * repeated line_id: the rows are judged apart, reported once with the first reason of any of them.
+    * repeated line_id: the rows are judged apart, reported once with the first reason of any of them, and loaded where good.
     * values of any length; extra columns of the input are ignored by ``reject_reasons`` and kept by ``load_clean``.
 """
 
@@ -90,9 +90,17 @@ def reject_reasons(df: DataFrame, key: str = "line_id", line: str = "line", rule
     return first.select(key, reason.alias("reason"))
 
 
-def load_clean(df: DataFrame, key: str = "line_id", line: str = "line") -> DataFrame:
-    """The rows without failure, with typed fields (empty date or doi becomes null, as does the doi ``NA``)."""
-    good = df.join(reject_reasons(df, key, line), key, "left_anti")
+def load_clean(df: DataFrame, key: str = "line_id", line: str = "line", rules: tuple[Rule, ...] = HARVEST_RULES) -> DataFrame:
+    """The rows without failure, with typed fields (empty date or doi becomes null, as does the doi ``NA``).
+
+    A row is identified by its key and line, so a good row stays that shares its key with a bad one; the anti-join
+    shuffles the few failed rows and, where they are many, the rows by a hash of both.
+    """
+    whole = F.xxhash64(F.col(key), F.col(line))
+    bad = failures(df.withColumn("__row", F.struct(F.col(key), F.col(line))), "__row", line, rules).select("__row").distinct()
+    bad = bad.select(F.col(f"__row.{key}").alias("__k"), F.col(f"__row.{line}").alias("__l")).withColumn("__h", F.xxhash64("__k", "__l"))
+    rows = df.withColumn("__h", whole)
+    good = rows.join(bad, (rows["__h"] == bad["__h"]) & rows[key].eqNullSafe(bad["__k"]) & rows[line].eqNullSafe(bad["__l"]), "left_anti").drop("__h")
     cells = good.withColumn("__cells", F.transform(cells_of(F.col(line)), unquote))
     get = lambda i: F.col("__cells")[i]
     typed = [get(0).cast("int"), get(1), F.nullif(get(2), F.lit("")).cast("date"), get(3), get(4), F.when(~get(5).isin("", "NA"), get(5))]

@@ -101,6 +101,22 @@ n AS (
 SELECT * FROM (SELECT record_id, node_kind, parent_no::BIGINT AS parent_no, node_no::BIGINT AS node_no, {_SCALAR.format("v")} AS node_value FROM n) WHERE node_value IS NOT NULL
 """
 
+def _part(e: str, path: str) -> str:
+    return _SCALAR.format(f"json_extract({e}, '{path}')")
+
+
+#: Author objects are the same when their own values and their affiliations, in order, are.
+_P2_AFFILIATIONS = f"""
+{_P2.split("paragraphs AS")[0].rstrip().rstrip(",")},
+af AS ({_list_sql("(SELECT record_id, node_no AS parent_no, e AS j FROM authors)", "$.affiliations.affiliation", "record_id, parent_no")}),
+o AS (SELECT record_id, parent_no, node_no, {_part("e", "$.afid")} AS afid, {_part("e", "$.name")} AS name, {_part("e", "$.address.city")} AS city, {_part("e", "$.address.country")} AS country FROM af),
+l AS (SELECT record_id, parent_no, list([afid, name, city, country] ORDER BY node_no) AS kids FROM o GROUP BY ALL),
+w AS (SELECT a.record_id, a.node_no AS parent_no, dense_rank() OVER (ORDER BY {_part("a.e", "$.auid")}, {_part("a.e", "$.given")}, {_part("a.e", "$.surname")}, l.kids) AS author
+  FROM authors a LEFT JOIN l ON l.record_id = a.record_id AND l.parent_no = a.node_no),
+d AS (SELECT DISTINCT w.author, o.node_no, o.afid, o.name, o.city, o.country FROM o JOIN w USING (record_id, parent_no))
+SELECT afid, name, city, country, count(*) AS n_places FROM d GROUP BY ALL
+"""
+
 _CELL_SQL = '(?:"(?:[^"]|"")*"|[^",]*)'
 _CELLS = f"""
 cells AS (
@@ -146,6 +162,7 @@ def _p7_sql(found: bool) -> str:
 
 ORACLE = {
     "p2_found": _P2,
+    "p2_affiliations": _P2_AFFILIATIONS,
     "p3_found": f"WITH {_CELLS} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p3_loaded": f"""WITH {_CELLS} SELECT line_id, v[1]::INT AS number, v[2] AS doc_type, nullif(v[3], '')::DATE AS date, v[4] AS title, v[5] AS abstract,
       CASE WHEN v[6] NOT IN ('', 'NA') THEN v[6] END AS doi FROM judged WHERE reason IS NULL""",

@@ -135,7 +135,12 @@ def test_rejects(spark):
     clean = {r.line_id: r for r in rejects.load_clean(df).collect()}
     assert set(clean) == {i for i, s in enumerate(LINES) if not reason(s)}
     assert clean[4].title == 'T, "q"\nx' and clean[4].doi is None and clean[3].date.isoformat() == "2001-02-03"
-    assert rejects.reject_reasons(df.limit(0)).count() == 0
+    assert rejects.reject_reasons(df.limit(0)).count() == 0 and rejects.load_clean(df.limit(0)).count() == 0
+    good = next(s for s in LINES if s and not reason(s))
+    bad = next(s for s in LINES if s and reason(s))
+    shared = spark.createDataFrame([(7, good), (7, bad), (7, good), (None, good), (None, bad), (8, None)], "line_id long, line string")
+    assert sorted(str(r.line_id) for r in rejects.load_clean(shared).collect()) == ["7", "7", "None"]
+    assert {(r.line_id, r.reason) for r in rejects.reject_reasons(shared).collect()} == {(7, reason(bad)), (None, reason(bad)), (8, "column_count")}
 
 
 # orphans
