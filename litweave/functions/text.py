@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,15 +16,16 @@ def _drop_note(text: Column, pattern: str) -> Column:
     return F.when((note != "") & (F.size(F.split(note, " ")) < NOTE_WORDS), F.regexp_replace(text, pattern, "")).otherwise(text)
 
 
-def clean_abstract(text: Column) -> Column:
+def clean_text(text: Column) -> Column:
     """Without rights notes, doi notes and copyright lines; the constant Inf in lower case."""
     text = F.replace(F.replace(text, F.lit("Inf"), F.lit("inf")), F.lit("All rights reserved."), F.lit(""))
     return _drop_note(_drop_note(text, r"\[DOI:(.*)\]"), r"©(.*)\.")
 
 
 def title_and_abstract(title: Column, abstract: Column, clean: bool = True) -> Column:
-    """One document text; null when both are."""
-    return F.when(title.isNull() & abstract.isNull(), None).otherwise(F.concat(F.coalesce(title, F.lit("")), F.lit(". "), clean_abstract(F.coalesce(abstract, F.lit(""))) if clean else F.coalesce(abstract, F.lit(""))))
+    """One document text, cleaned as a whole; null when both are."""
+    whole = F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.coalesce(abstract, F.lit("")))
+    return F.when(title.isNotNull() | abstract.isNotNull(), clean_text(whole) if clean else whole)
 
 
 def words(text: Column) -> Column:
@@ -99,10 +100,56 @@ def author_of_token(token: Column) -> Column:
     return F.when(token.rlike("^a_[0-9]+$"), F.substring(token, F.lit(3), F.length(token)).cast("long"))
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value) with the value computed once, however often fn uses it."""
+    return F.get(F.transform(F.array(value), lambda v: fn(v)), F.lit(0))
+
+
+def normal_formula(formula: Column) -> Column:
+    """A formula with its elements in alphabetical order and whole amounts without common divisor, 1 left out."""
+
+    def write(entries: Column) -> Column:
+        amounts = F.transform(entries, lambda e: e["value"])
+        whole = F.forall(amounts, lambda a: (a == F.floor(a)) & (a >= 1) & (a < 10_000))
+        least = F.greatest(F.coalesce(F.array_min(amounts).cast("int"), F.lit(1)), F.lit(1))
+        by = F.when(whole, F.array_max(F.filter(F.sequence(F.lit(1), least), lambda d: F.forall(amounts, lambda a: a % d == 0)))).otherwise(1)
+        return let(by, lambda d: F.array_join(F.transform(entries, lambda e: F.concat(e["key"], let(e["value"] / d, _amount))), ""))
+
+    return let(F.array_sort(F.map_entries(composition(formula))), write)
+
+
+def _amount(x: Column) -> Column:
+    return F.when(x == 1, F.lit("")).when(x == F.floor(x), x.cast("long").cast("string")).otherwise(x.cast("string"))
+
+
+_GROUP, _PART = r"[(\[]([^()\[\]]*)[)\]]([0-9.]*)", r"([A-Z][a-z]?)([0-9.]*)"
+
+
+def _times(part: Column) -> Column:
+    return F.coalesce(F.regexp_extract(part, r"[0-9.]+$", 0).try_cast("double"), F.lit(1.0))
+
+
+def _symbol(part: Column) -> Column:
+    return F.regexp_extract(part, r"^[A-Z][a-z]?", 0)
+
+
+def flat_formula(formula: Column) -> Column:
+    """A formula with its brackets written out, one innermost pair at a time: Ca(OH)2 as CaO2.0H2.0."""
+
+    def step(f: Column, _: Column) -> Column:
+        inside, times = F.regexp_extract(f, _GROUP, 1), F.coalesce(F.regexp_extract(f, _GROUP, 2).try_cast("double"), F.lit(1.0))
+        parts = F.transform(F.regexp_extract_all(inside, F.lit(_PART), F.lit(0)), lambda p: F.concat(_symbol(p), (_times(p) * times).cast("string")))
+        return F.when(f.rlike(_GROUP), F.replace(f, F.regexp_extract(f, _GROUP, 0), F.array_join(parts, ""))).otherwise(f)
+
+    pairs = F.size(F.regexp_extract_all(formula, F.lit(r"[(\[]"), F.lit(0)))
+    return F.when(pairs > 0, F.aggregate(F.sequence(F.lit(1), pairs), formula, step)).otherwise(formula)
+
+
 def composition(formula: Column) -> Column:
-    """Map element -> amount of a formula without brackets; repeated elements add up."""
-    parts = F.regexp_extract_all(formula, F.lit(r"([A-Z][a-z]?)([0-9.]*)"), F.lit(0))
-    symbol = lambda p: F.regexp_extract(p, r"^[A-Z][a-z]?", 0)
-    amount = lambda p: F.coalesce(F.regexp_extract(p, r"[0-9.]+$", 0).try_cast("double"), F.lit(1.0))
-    elements = F.array_distinct(F.transform(parts, symbol))
-    return F.map_from_arrays(elements, F.transform(elements, lambda s: F.aggregate(F.filter(parts, lambda p: symbol(p) == s), F.lit(0.0), lambda a, p: a + amount(p))))
+    """Map element -> amount of a formula; amounts in brackets are multiplied, repeated elements add up."""
+
+    def add(parts: Column) -> Column:
+        elements = F.array_distinct(F.transform(parts, _symbol))
+        return F.map_from_arrays(elements, F.transform(elements, lambda s: F.aggregate(F.filter(parts, lambda p: _symbol(p) == s), F.lit(0.0), lambda a, p: a + _times(p))))
+
+    return F.when(formula.isNotNull(), let(F.regexp_extract_all(flat_formula(formula), F.lit(_PART), F.lit(0)), add))

@@ -52,9 +52,10 @@ def scalar_density(sd: DataFrame, before: int, memory: int = 5) -> DataFrame:
 
 
 def random_density(sd: DataFrame, before: int, memory: int = 5, size: int = 50, seed: int = 42) -> DataFrame:
-    """(v, score): ``size`` entities of positive density, chosen by a hash of the seed."""
+    """(v, score): 1 for ``size`` entities of positive density, chosen by a hash of the seed, and 0 for all others."""
     some = scalar_density(sd, before, memory).where(F.col("score") > 0)
-    return some.orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(size)
+    chosen = some.orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(size).select("v", F.lit(1.0).alias("score"))
+    return sd.select("v").distinct().join(chosen, "v", "left").select("v", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def joint_density(tokens: DataFrame, first: str, second: str) -> DataFrame:
@@ -65,12 +66,14 @@ def joint_density(tokens: DataFrame, first: str, second: str) -> DataFrame:
     return n.select(F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), F.col("n") / (F.col("n_a") + F.col("n_b"))).otherwise(F.lit(0.0)).alias("jsd"))
 
 
-def by_position(series: DataFrame, stat: str = "mean") -> DataFrame:
-    """(pos, value): mean or population deviation at each position of accuracy series (year, values array)."""
-    points = series.select(F.posexplode("values").alias("pos", "value"))
-    longest = series.select(F.size(F.max_by("values", -F.col("year"))).alias("n"))
+def by_position(points: DataFrame, order: str, stat: str = "mean") -> DataFrame:
+    """(pos, value): mean or population deviation at each place of yearly series (year, ``order``, value), numbered from 0 by
+    ``order`` within the year, as far as the series of the first year goes. No series is held in one row."""
+    placed = points.withColumn("pos", F.row_number().over(Window.partitionBy("year").orderBy(order)) - 1)
+    years = points.groupBy("year").agg(F.count("*").alias("n"))
+    first = years.agg(F.min_by("n", "year").alias("n"))
     agg = F.avg("value") if stat == "mean" else F.stddev_pop("value")
-    return points.groupBy("pos").agg(agg.alias("value")).join(F.broadcast(longest), F.col("pos") < F.col("n")).select("pos", "value")
+    return placed.groupBy("pos").agg(agg.alias("value")).join(F.broadcast(first), F.col("pos") < F.col("n")).select("pos", "value")
 
 
 def running(counts: DataFrame) -> DataFrame:

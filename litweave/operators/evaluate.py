@@ -36,17 +36,40 @@ def author_years(preds: DataFrame, truth: DataFrame, year: int, last_year: int)
     return hits.groupBy("author").agg(F.sort_array(F.collect_set("year")).alias("years"))
 
 
-def orbit_scores(items: DataFrame, betas: list[float], k: int = 50) -> DataFrame:
-    """(beta, level, share, mean_outer, n): where the top k of each beta lie by distance.
+#: Bins of distance: 1 to 4, farther, unreachable.
+LEVELS = 6
 
-    items(v, spd, sim, outer): distance and text similarity are combined by normal scores of rank at every beta.
-    """
+
+def _best_by_beta(items: DataFrame, betas: list[float], k: int) -> DataFrame:
+    """The k best items of every beta by beta * (normal score of distance) + (1 - |beta|) * (normal score of similarity)."""
     grid = items.sparkSession.createDataFrame([(float(b),) for b in betas], "beta double")
     ready = materialise(items.withColumn("level", distance_bin(F.col("spd"))).withColumn("near", F.exp("sim")), "orbits")
     scored = normal_scores(ready, "level", "near").join(F.broadcast(grid))
-    scored = scored.withColumn("score", F.col("beta") * F.col("q1") + (1 - F.abs("beta")) * F.col("q2"))
-    top = top_k_by(scored, k, "beta")
-    return top.groupBy("beta", "level").agg((F.count("*") / F.lit(float(k))).alias("share"), F.avg("outer").alias("mean_outer"), F.count("*").alias("n"))
+    scored = scored.withColumn("score", F.round(F.col("beta") * F.col("q1") + (1 - F.abs("beta")) * F.col("q2"), 9))
+    return materialise(top_k_by(scored, k, "beta"), "orbits-best")
+
+
+def orbit_scores(items: DataFrame, betas: list[float], k: int = 50, truth: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Where the k best of each beta lie by distance, and how good they are, from items(v, spd, sim, outer).
+
+    (beta, level, share, mean_outer) for all LEVELS, share of the predictions made and 0 where a level has none or no
+    outer score; (beta, precision, score): share of the predictions in truth(v) and mean outer score, which at beta -1
+    and 1 is that of the nearest and farthest orbits themselves.
+    """
+    best = _best_by_beta(items, betas, k)
+    n = best.groupBy("beta").agg(F.count("*").alias("n"))
+    levels = n.select("beta", "n", F.explode(F.sequence(F.lit(1), F.lit(LEVELS))).alias("level"))
+    held = best.groupBy("beta", "level").agg(F.count("*").alias("m"), F.avg("outer").alias("mean_outer"))
+    by_level = levels.join(held, ["beta", "level"], "left").select("beta", "level", (F.coalesce("m", F.lit(0)) / F.col("n")).alias("share"), F.coalesce("mean_outer", F.lit(0.0)).alias("mean_outer"))
+    hit = best if truth is None else best.join(truth.select("v").distinct().withColumn("hit", F.lit(1)), "v", "left")
+    hits = F.lit(None).cast("double") if truth is None else F.count("hit") / F.count("*")
+    whole = hit.groupBy("beta").agg(hits.alias("precision"), F.avg("outer").alias("score"))
+    known = materialise(items.where(F.col("outer").isNotNull()).select("spd", F.col("outer").alias("score")), "orbits-known")
+    for beta, far in ((-1.0, False), (1.0, True)):
+        if beta in [float(b) for b in betas]:
+            edge = extreme_orbits(known.where(F.col("spd") > 0), k, farthest=far).select(F.col("score").alias("__edge"))
+            whole = whole.join(F.broadcast(edge)).withColumn("score", F.when(F.col("beta") == beta, F.col("__edge")).otherwise(F.col("score"))).drop("__edge")
+    return by_level, whole
 
 
 def extreme_orbits(items: DataFrame, k: int, farthest: bool = False, literal: bool = False) -> DataFrame:

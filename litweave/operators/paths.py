@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,14 +11,18 @@ from litweave.operators.incidence import NODE
 from litweave.runtime import materialise
 
 
-def distances(inc: DataFrame, seeds: DataFrame, max_steps: int = 64) -> DataFrame:
+#: After so many steps the visited nodes and opened hyperedges are written as one table each.
+FOLD = 16
+
+
+def distances(inc: DataFrame, seeds: DataFrame) -> DataFrame:
     """(t, v, dist) in hyperedges from the seeds (t, v), which have distance 0; unreachable nodes do not appear.
 
-    A hyperedge is opened once. Each step is written, so that lineage stays flat.
+    A hyperedge is opened once. Each step is written, so that lineage stays flat, until a step reaches nothing new.
     """
     seen = front = seeds.select(NODE).distinct().withColumn("dist", F.lit(0))
     opened = None
-    for k in range(1, max_steps + 1):
+    for k in count(1):
         edges = inc.join(front.select(NODE), NODE, "left_semi").select("e").distinct()
         if opened is not None:
             edges = edges.join(opened, "e", "left_anti")
@@ -27,6 +33,8 @@ def distances(inc: DataFrame, seeds: DataFrame, max_steps: int = 64) -> DataFram
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if k % FOLD == 0:
+            seen, opened = materialise(seen, "bfs-seen"), materialise(opened, "bfs-opened")
     return seen
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from litweave.functions.text import normal_formula, simple_formula
+
 
 def positions(texts: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, pos, token) of blank-separated texts."""
@@ -59,6 +61,7 @@ def walk_token_counts(tokens: DataFrame, keyword: str) -> DataFrame:
     return unigrams(tokens.where(F.col("token") != keyword))
 
 
-def frequent_vocabulary(vocab: DataFrame, threshold: int, always: tuple[str, ...] = ("H2", "O2", "N2")) -> DataFrame:
-    """(token, n) above a count, or on the list of those always kept."""
-    return vocab.where((F.col("n") > threshold) | F.col("token").isin(list(always)))
+def frequent_vocabulary(vocab: DataFrame, threshold: int, unnormalised: tuple[str, ...] = ("H2", "O2", "N2")) -> DataFrame:
+    """(token, n): formulas above a count that are written in their normal form, or in another listed one."""
+    token = F.col("token")
+    return vocab.where(simple_formula(token) & (F.col("n") > threshold) & ((normal_formula(token) == token) | token.isin(list(unnormalised))))

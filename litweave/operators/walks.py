@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from litweave.operators.incidence import NODE
 from litweave.runtime import materialise
+from litweave.sources.upsert import with_surrogate
 
 Weight = Callable[[DataFrame], DataFrame]
 
@@ -164,27 +165,49 @@ def positive_samples(trans: DataFrame, walks: int, length: int, seed: int = 42)
     return seen.join(starts, "walk").where(F.col("v") != F.col("start")).select(F.col("start").alias("src"), F.col("v").alias("dst")).distinct()
 
 
-def expert_walks(sims: DataFrame, density: DataFrame, starts: DataFrame, steps: int, beta: float, seed: int = 42) -> DataFrame:
-    """(walk, pos, v): length + 1 nodes on similarity rows (src, dst, p).
+def expert_walks(density: DataFrame, graph: DataFrame, pool: DataFrame, starts: DataFrame, steps: int, beta: float, seed: int = 42) -> DataFrame:
+    """(walk, pos, v) of walks that follow, or avoid, the people: steps + 1 nodes of pool(v) from starts(walk, v).
 
-    beta <= 0 follows the current row; beta > 0 the geometric mean of the rows of all nodes visited. Each step mixes a
-    softmax of -sign(beta) * density with the uniform choice among the neighbours, by |beta|.
+    density(src, dst, d): how much two nodes share people; pairs that are not listed share none. A step takes the row of
+    the current node (beta <= 0) or the geometric mean of the rows of all nodes visited (beta > 0), the softmax of
+    -sign(beta) times that row over the whole pool, and the uniform choice among the neighbours in graph(src, dst), or
+    over the pool where there are none; |beta| is the share of the first. The walk never stays where it is.
+
+    Nodes without density and edge are alike, so they are one candidate with their common mass, and one of them is taken
+    by number if it wins: a step costs the listed nodes of the walks, not walks times pool.
     """
-    here = starts.select("walk", "v").withColumn("pos", F.lit(0))
-    out = here
+    own = pool.select("v").distinct()
+    numbered = materialise(with_surrogate(own, "i", -1), "pool")
+    size = numbered.count()
+    code = lambda df, c: df.join(numbered.select(F.col("v").alias(c), F.col("i").alias(f"{c}_i")), c).drop(c)
+    rows = materialise(code(code(density, "src"), "dst"), "pool-density")
+    near = materialise(code(code(graph.select("src", "dst").distinct(), "src"), "dst"), "pool-graph")
+    here = materialise(starts.select("walk", "v").join(numbered, "v").select("walk", "i", F.lit(0).alias("pos")), "walk")
+    out, sign, share = here, (beta > 0) - (beta < 0), abs(beta)
     for k in range(1, steps + 1):
         visited = here if beta <= 0 else out
-        rows = visited.select("walk", F.col("v").alias("src")).join(sims, "src")
-        n_rows = visited.groupBy("walk").agg(F.count("*").alias("n"))
-        near = rows.groupBy("walk", "dst").agg(F.avg(F.ln("p")).alias("lp"), F.count("*").alias("k")).join(n_rows, "walk").where(F.col("k") == F.col("n"))
-        near = near.join(here.select("walk", "v"), "walk").where(F.col("dst") != F.col("v")).join(density.select(F.col("v").alias("dst"), "sd"), "dst", "left")
-        score = F.exp(F.lit(0.0 if beta == 0 else -abs(beta) / beta) * F.coalesce("sd", F.lit(0.0)))
-        w = Window.partitionBy("walk")
-        p = abs(beta) * score / F.sum(score).over(w) + (1 - abs(beta)) / F.count(F.lit(1)).over(w)
-        here = near.withColumn("w", p * F.exp("lp")).groupBy("walk").agg(F.min_by("dst", _draw(F.col("w"), seed, F.col("walk"), k, F.col("dst"))).alias("v")).withColumn("pos", F.lit(k))
-        here = materialise(here, "walk")
-        out = out.unionByName(here.select("walk", "v", "pos"))
-    return out
+        met = visited.select("walk", F.col("i").alias("src_i")).join(rows, "src_i").where(F.col("d") > 0)
+        shared = met.groupBy("walk", "dst_i").agg(F.exp(F.avg(F.ln("d"))).alias("d"), F.count("*").alias("n"))
+        shared = shared.where(F.col("n") == F.lit(1 if beta <= 0 else k)).select("walk", "dst_i", "d", F.lit(0).alias("edge"))
+        edges = here.select("walk", F.col("i").alias("src_i")).join(near, "src_i").select("walk", "dst_i", F.lit(0.0).alias("d"), F.lit(1).alias("edge"))
+        stay = here.select("walk", F.col("i").alias("dst_i"), F.lit(0.0).alias("d"), F.lit(0).alias("edge"))
+        listed = shared.unionByName(edges).unionByName(stay).groupBy("walk", "dst_i").agg(F.sum("d").alias("d"), F.max("edge").alias("edge"))
+        listed = listed.withColumn("soft", F.exp(-sign * F.col("d")))
+        mass = listed.groupBy("walk").agg(F.sum("soft").alias("z"), F.sum("edge").alias("edges"), F.count("*").alias("n"), F.sort_array(F.collect_list("dst_i")).alias("taken"))
+        mass = mass.withColumn("z", F.col("z") + (size - F.col("n")))
+        alone = F.when(F.col("edges") == 0, F.lit((1 - share) / size)).otherwise(0.0)
+        each = listed.join(mass.select("walk", "z", "edges"), "walk").join(here.select("walk", F.col("i").alias("now")), "walk").where(F.col("dst_i") != F.col("now"))
+        w = share * F.col("soft") / F.col("z") + alone + F.when(F.col("edge") == 1, (1 - share) / F.col("edges")).otherwise(0.0)
+        ones = each.select("walk", F.col("dst_i"), w.alias("w"))
+        rest = mass.select("walk", F.lit(None).cast("long").alias("dst_i"), ((size - F.col("n")) * (share / F.col("z") + alone)).alias("w"))
+        drawn = ones.unionByName(rest).where(F.col("w") > 0)
+        race = _draw(F.col("w"), seed, F.col("walk"), k, F.coalesce("dst_i", F.lit(-1)))
+        won = drawn.groupBy("walk").agg(F.min_by(F.struct("dst_i"), race).alias("s")).join(mass.select("walk", "n", "taken"), "walk")
+        free = F.floor(uniform(seed + 1, F.col("walk"), k) * (size - F.col("n")))
+        among = F.aggregate("taken", free, lambda r, t: F.when(t <= r, r + 1).otherwise(r))  # the number-th node that is not listed
+        here = materialise(won.select("walk", F.coalesce("s.dst_i", among).alias("i"), F.lit(k).alias("pos")), "walk")
+        out = out.unionByName(here)
+    return out.join(numbered, "i").select("walk", "pos", "v")
 
 
 def random_entities(walks: DataFrame, members: DataFrame, seed: int = 42) -> DataFrame:

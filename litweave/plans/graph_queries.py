@@ -278,10 +278,20 @@ def edge_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def expert_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trans = _plain_transitions(spark, sf_dir)
-    density = incidence.node_degrees(recent(spark, sf_dir).inc).where(F.col("t") == "entity").select("v", (1.0 / F.col("d")).alias("sd"))
-    starts = spark.range(50).select(F.col("id").alias("walk")).join(F.broadcast(trans.select(F.col("src").alias("v")).orderBy("v").limit(1)))
-    return walks.expert_walks(trans, density, starts, 4, 0.4)
+    return _expert(spark, sf_dir)[0]
+
+
+def _expert(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Walks from the property (node -1) over its entities, with the shared authors of two nodes as density; and the pool."""
+    inc = recent(spark, sf_dir).inc
+    node = F.when(F.col("t") == "keyword", F.lit(-1)).otherwise(F.col("v"))
+    near = hops.entity_graph(inc)
+    code = lambda i: F.when(F.col(f"t{i}") == "keyword", F.lit(-1)).otherwise(F.col(f"v{i}"))
+    edges = near.select(code(1).alias("src"), code(2).alias("dst"))
+    density = materialise(hops.entity_graph(inc, True).select(code(1).alias("src"), code(2).alias("dst"), F.col("p").alias("d")), "expert-density")
+    pool = inc.where(F.col("t").isin("entity", "keyword")).select(node.alias("v")).distinct()
+    starts = spark.range(50).select(F.col("id").alias("walk"), F.lit(-1).cast("long").alias("v"))
+    return walks.expert_walks(density, edges, pool, starts, 4, 0.4), pool
 
 
 @query()

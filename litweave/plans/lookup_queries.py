@@ -145,9 +145,9 @@ def authors_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.find_in_texts(table(spark, sf_dir, "documents"), people)
 
 
-@query("""WITH a AS (SELECT paper_id, title, replace(replace(coalesce(abstract, ''), 'Inf', 'inf'), 'All rights reserved.', '') AS x FROM paper WHERE NOT (title IS NULL AND abstract IS NULL)),
-b AS (SELECT paper_id, title, CASE WHEN regexp_extract(x, '\\[DOI:(.*)\\]') <> '' AND len(string_split(regexp_extract(x, '\\[DOI:(.*)\\]'), ' ')) < 20 THEN regexp_replace(x, '\\[DOI:(.*)\\]', '', 'g') ELSE x END AS x FROM a)
-SELECT paper_id, coalesce(title, '') || '. ' || CASE WHEN regexp_extract(x, '©(.*)\\.') <> '' AND len(string_split(regexp_extract(x, '©(.*)\\.'), ' ')) < 20 THEN regexp_replace(x, '©(.*)\\.', '', 'g') ELSE x END AS text FROM b""")
+@query("""WITH a AS (SELECT paper_id, replace(replace(coalesce(title, '') || '. ' || coalesce(abstract, ''), 'Inf', 'inf'), 'All rights reserved.', '') AS x FROM paper WHERE NOT (title IS NULL AND abstract IS NULL)),
+b AS (SELECT paper_id, CASE WHEN regexp_extract(x, '\\[DOI:(.*)\\]') <> '' AND len(string_split(regexp_extract(x, '\\[DOI:(.*)\\]'), ' ')) < 20 THEN regexp_replace(x, '\\[DOI:(.*)\\]', '', 'g') ELSE x END AS x FROM a)
+SELECT paper_id, CASE WHEN regexp_extract(x, '©(.*)\\.') <> '' AND len(string_split(regexp_extract(x, '©(.*)\\.'), ' ')) < 20 THEN regexp_replace(x, '©(.*)\\.', '', 'g') ELSE x END AS text FROM b""")
 def titles_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = table(spark, sf_dir, "paper")
     return papers.select("paper_id", text.title_and_abstract(F.col("title"), F.col("abstract")).alias("text")).where(F.col("text").isNotNull())

@@ -217,7 +217,7 @@ r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1)
 SELECT round((sum(y * r) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * (count(*) - sum(y)), 0)::DOUBLE, 9) AS auc FROM r""")
 def auc_of_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir).written()
-    scored = predictors.hypergraph_transition(g, 2)(YEAR, size=2_147_483_632, scores=True)
+    scored = predictors.hypergraph_transition(g, 2)(YEAR, size=None, scores=True)
     later = truth.discoveries(g).where(F.col("year").between(YEAR, LAST - 1)).select("v", F.lit(1).alias("label"))
     return evaluate.auc(scored.join(later, "v", "left").withColumn("label", F.coalesce("label", F.lit(0)))).withColumn("auc", F.round("auc", 9))
 
@@ -256,9 +256,8 @@ def predict_social_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT year, list(n ORDER BY v) AS values FROM y GROUP BY year), u AS (SELECT unnest(values) AS value, generate_subscripts(values, 1) - 1 AS pos FROM s)
 SELECT pos::INT AS pos, round(avg(value), 9) AS value FROM u WHERE pos < (SELECT len(values) FROM s ORDER BY year LIMIT 1) GROUP BY pos""")
 def mean_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = density.cooccurrences(graph(spark, sf_dir)).where(F.col("year") >= 2005)
-    series = c.groupBy("year").agg(F.transform(F.sort_array(F.collect_list(F.struct("v", F.col("n").cast("double").alias("n")))), lambda x: x["n"]).alias("values"))
-    return density.by_position(series).withColumn("value", F.round("value", 9))
+    c = materialise(density.cooccurrences(graph(spark, sf_dir)).where(F.col("year") >= 2005), "counts")
+    return density.by_position(c.select("year", "v", F.col("n").cast("double").alias("value")), "v").withColumn("value", F.round("value", 9))
 
 
 # distance against score: the trade-off between near and far entities
@@ -284,10 +283,37 @@ def extreme_orbit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.extreme_orbits(items, 500).withColumn("score", F.round("score", 9))
 
 
-@query()
+_BETAS = [b / 10 for b in range(-10, 11)]
+_TRADEOFF = f"""{_ORBITS.replace("WHERE d.spd > 0)", ")")}, lv AS (SELECT v, spd, CASE WHEN spd < 0 THEN 6 WHEN spd <= 4 THEN spd ELSE 5 END::INT AS level, score AS near, score AS outer_ FROM o),
+rk AS (SELECT *, (rank() OVER (ORDER BY level) + (count(*) OVER (PARTITION BY level) - 1) / 2.0)::DOUBLE / (count(*) OVER () + 1) AS p1, (rank() OVER (ORDER BY near) + (count(*) OVER (PARTITION BY near) - 1) / 2.0)::DOUBLE / (count(*) OVER () + 1) AS p2 FROM lv),
+nq AS (SELECT *, {_inverse_normal_sql("p1")} AS s1, {_inverse_normal_sql("p2")} AS s2 FROM rk),
+qs AS (SELECT *, (s1 - avg(s1) OVER ()) / nullif(stddev_pop(s1) OVER (), 0) AS q1, (s2 - avg(s2) OVER ()) / nullif(stddev_pop(s2) OVER (), 0) AS q2 FROM nq),
+bt AS (SELECT unnest({_BETAS!r})::DOUBLE AS beta),
+bs AS (SELECT * FROM (SELECT beta, v, level, outer_, row_number() OVER (PARTITION BY beta ORDER BY round(beta * q1 + (1 - abs(beta)) * q2, 9) DESC, v) AS k FROM qs, bt) WHERE k <= 50)"""
+
+
+@query(f"{_TRADEOFF} SELECT b.beta, l.level, round(count(x.v) / 50.0, 9)::DOUBLE AS share, round(coalesce(avg(x.outer_), 0), 9) AS mean_outer FROM bt b CROSS JOIN (SELECT unnest(range(1, 7))::INT AS level) l LEFT JOIN bs x ON x.beta = b.beta AND x.level = l.level GROUP BY 1, 2")
 def orbit_tradeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _orbit_items(spark, sf_dir).select("v", "spd", F.log1p("score").alias("sim"), F.col("score").alias("outer"))
-    return evaluate.orbit_scores(materialise(items, "orbits"), [b / 10 for b in range(-10, 11)])
+    """Shares and mean scores of the 50 best by distance level, for every beta."""
+    levels, _ = _orbits(spark, sf_dir)
+    return levels.select("beta", "level", F.round("share", 9).alias("share"), F.round("mean_outer", 9).alias("mean_outer"))
+
+
+def _edge_sql(order: str) -> str:
+    return f"(SELECT sum(m * take) / sum(take) FROM (SELECT *, greatest(0, least(n, 50 - (sum(n) OVER (ORDER BY spd {order}) - n))) AS take FROM (SELECT spd, avg(score) AS m, count(*) AS n FROM o WHERE spd > 0 GROUP BY spd)) WHERE take > 0)"
+
+
+@query(f"{_TRADEOFF} SELECT beta, round(count(*) FILTER (v IN (SELECT v FROM fy WHERE year BETWEEN {YEAR} AND {LAST - 1}))::DOUBLE / count(*), 9) AS precision, round(CASE WHEN beta = -1 THEN {_edge_sql('ASC')} WHEN beta = 1 THEN {_edge_sql('DESC')} ELSE avg(outer_) END, 9) AS score FROM bs GROUP BY beta")
+def orbit_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and mean score of the 50 best for every beta."""
+    _, whole = _orbits(spark, sf_dir)
+    return whole.select("beta", F.round("precision", 9).alias("precision"), F.round("score", 9).alias("score"))
+
+
+def _orbits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    items = _orbit_items(spark, sf_dir).select("v", "spd", F.log("score").alias("sim"), F.col("score").alias("outer"))
+    later = truth.discoveries(graph(spark, sf_dir)).where(F.col("year").between(YEAR, LAST - 1))
+    return evaluate.orbit_scores(materialise(items, "orbits"), _BETAS, 50, later)
 
 
 @query(f"""{BASE}, sim AS (SELECT a.v AS i, b.v AS j, count(*) / sqrt(any_value(na.d) * any_value(nb.d)) AS c FROM win a JOIN win b USING (e) JOIN deg na ON na.t = 'entity' AND na.v = a.v JOIN deg nb ON nb.t = 'entity' AND nb.v = b.v

@@ -19,18 +19,19 @@ from litweave.operators.vectors import cosine_to_anchor
 Predictor = Callable[..., DataFrame]
 
 
-def _ranked(scored: DataFrame, size: int, scores: bool, subset: DataFrame | None, ascending: bool = False, key: str = "v") -> DataFrame:
+def _ranked(scored: DataFrame, size: int | None, scores: bool, subset: DataFrame | None, ascending: bool = False, key: str = "v") -> DataFrame:
     if subset is not None:
         scored = scored.join(subset.select(key).distinct(), key, "left_semi")
-    best = top_k(scored.select(key, F.round("score", 9).alias("score")), size, "score", key, ascending)
+    rounded = scored.select(key, F.round("score", 9).alias("score"))
+    best = rounded if size is None else top_k(rounded, size, "score", key, ascending)  # all of them need no order
     return best if scores else best.select(key)
 
 
 def hypergraph_transition(g: Hypergraph, nstep: int = 1, memory: int = 5, alpha: float | None = None, constraint: Callable[[DataFrame], DataFrame] | None = None) -> Predictor:
     """Accessibility from the keyword over the years before, among entities not studied until then (0 where unreachable)."""
 
-    def predict(year: int, subset: DataFrame | None = None, size: int = 50, scores: bool = False) -> DataFrame:
-        w = g.window(year, memory)
+    def predict(year: int, subset: DataFrame | None = None, size: int | None = 50, scores: bool = False) -> DataFrame:
+        w = g.window(year, memory).written()
         score = hops.multistep(hops.unit(w.inc, "keyword"), w.inc, nstep, lambda t: t != "keyword", alpha=alpha).where(F.col("t") == "entity").select("v", F.col("x").alias("score"))
         left = truth.unstudied(g, year).join(score, "v", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         return _ranked(constraint(left) if constraint else left, size, scores, subset)
@@ -43,7 +44,7 @@ def social_density_predictor(g: Hypergraph, memory: int = 5, how: str = "SUM", s
 
     def predict(year: int, subset: DataFrame | None = None, size: int = 50, scores: bool = False) -> DataFrame:
         sd = density.social_density(g)
-        score = density.scalar_density(sd, year, memory) if how == "SUM" else density.random_density(sd, year, memory, size, seed)
+        score = density.scalar_density(sd, year, memory) if how == "SUM" else density.random_density(sd, year, memory, size or 50, seed)
         return _ranked(score.join(truth.studied_before(g, year), "v", "left_anti"), size, scores, subset)
 
     return predict
@@ -73,12 +74,12 @@ def author_embedding_predictor(emb: DataFrame, keyword: str) -> Predictor:
 
 
 def author_access_predictor(g: Hypergraph, nstep: int = 1, memory: int = 5) -> Predictor:
-    """Authors by accessibility from the keyword through anything but it; size 0 keeps all."""
+    """Authors by accessibility from the keyword through anything but it; size None keeps all."""
 
-    def predict(year: int, subset: DataFrame | None = None, size: int = 0, scores: bool = False) -> DataFrame:
+    def predict(year: int, subset: DataFrame | None = None, size: int | None = None, scores: bool = False) -> DataFrame:
         w = g.window(year, memory)
         x = hops.multistep(hops.unit(w.inc, "keyword"), w.inc, nstep, lambda t: t != "keyword").where(F.col("t") == "author").select(F.col("v").alias("author"), F.col("x").alias("score"))
-        return _ranked(x, size or 2_147_483_632, scores, subset, key="author")
+        return _ranked(x, size, scores, subset, key="author")
 
     return predict
 

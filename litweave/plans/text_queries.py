@@ -51,9 +51,9 @@ def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = r"[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*"
 TOK = """tok AS (SELECT doc, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT paper_id AS doc, regexp_extract_all(lower(title), '[\\pL\\pN.]+') AS l FROM paper WHERE title IS NOT NULL))"""
 _NOTE = "CASE WHEN n <> '' AND len(string_split(n, ' ')) < 20 THEN regexp_replace(a, '{0}', '', 'g') ELSE a END AS a FROM (SELECT *, regexp_extract(a, '{0}') AS n FROM {1})"
-_DOCUMENT_TOK = f"""d0 AS (SELECT paper_id AS doc, title, replace(replace(coalesce(abstract, ''), 'Inf', 'inf'), 'All rights reserved.', '') AS a FROM paper WHERE title IS NOT NULL OR abstract IS NOT NULL),
-d1 AS (SELECT doc, title, {_NOTE.format("\\[DOI:(.*)\\]", "d0")}), d2 AS (SELECT doc, title, {_NOTE.format("©(.*)\\.", "d1")}),
-tok AS (SELECT doc, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc, regexp_extract_all(lower(coalesce(title, '') || '. ' || a), '{WORDS}') AS l FROM d2))"""
+_DOCUMENT_TOK = f"""d0 AS (SELECT paper_id AS doc, replace(replace(coalesce(title, '') || '. ' || coalesce(abstract, ''), 'Inf', 'inf'), 'All rights reserved.', '') AS a FROM paper WHERE title IS NOT NULL OR abstract IS NOT NULL),
+d1 AS (SELECT doc, {_NOTE.format("\\[DOI:(.*)\\]", "d0")}), d2 AS (SELECT doc, {_NOTE.format("©(.*)\\.", "d1")}),
+tok AS (SELECT doc, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc, regexp_extract_all(lower(a), '{WORDS}') AS l FROM d2))"""
 _GRAM = TOK + ", gr AS (SELECT a.token AS center, b.token AS context, count(*) AS n FROM tok a JOIN tok b ON a.doc = b.doc AND b.pos BETWEEN a.pos - 4 AND a.pos + 4 AND b.pos <> a.pos GROUP BY 1, 2)"
 WINDOW = 9
 
@@ -88,9 +88,28 @@ def most_similar_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textstats.similar_terms(materialise(grams(spark, sf_dir), "grams"), "polarization").withColumn("sim", F.round("sim", 9))
 
 
-@query(f"WITH {TOK} SELECT * FROM (SELECT token, count(*) AS n FROM tok GROUP BY token) WHERE n > 20 OR token IN ('H2', 'O2', 'N2')")
+#: A formula is kept when its elements stand in alphabetical order, once each, and no number divides all amounts.
+_NORMAL = r"""f AS (SELECT token, n, regexp_extract_all(token, '[A-Z][a-z]?') AS el, list_transform(regexp_extract_all(token, '[A-Z][a-z]?([0-9.]*)', 1), lambda x: CASE WHEN x = '' THEN 1.0 ELSE try_cast(x AS DOUBLE) END) AS am,
+  regexp_extract_all(token, '[A-Z][a-z]?([0-9.]*)', 1) AS raw FROM u WHERE regexp_full_match(token, '(?:[A-Z][a-z]?[0-9.]*){2,}'))
+SELECT token, n FROM f WHERE n > 2 AND (token IN ('H2', 'O2', 'N2') OR (el = list_sort(el) AND len(el) = len(list_distinct(el)) AND len(list_filter(am, lambda x: x IS NULL)) = 0
+  AND len(list_filter(list_zip(am, raw), lambda z: z[2] <> CASE WHEN z[1] = 1 THEN '' WHEN z[1] = floor(z[1]) THEN z[1]::BIGINT::VARCHAR ELSE z[1]::VARCHAR END)) = 0
+  AND (len(list_filter(am, lambda x: x <> floor(x) OR x < 1 OR x >= 10000)) > 0 OR len(list_filter(range(2, list_min(am)::BIGINT + 1), lambda d: len(list_filter(am, lambda x: x % d <> 0)) = 0)) = 0)))"""
+
+
+def cased_tokens(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """(token) of fields of papers, letter case kept: formulas need it."""
+    papers = table(spark, sf_dir, "paper")
+    return papers.select(F.explode(F.concat(*[F.coalesce(F.regexp_extract_all(f, F.lit(WORDS), F.lit(0)), F.array().cast("array<string>")) for f in fields])).alias("token"))
+
+
+def _cased(*fields: str) -> str:
+    return f"WITH u AS (SELECT token, count(*) AS n FROM (SELECT unnest(list_concat({', '.join(f'coalesce(regexp_extract_all({f}, {chr(39)}{WORDS}{chr(39)}), [])' for f in (*fields, 'NULL::VARCHAR'))})) AS token FROM paper) GROUP BY token), {_NORMAL}"
+
+
+@query(_cased("title"))
 def frequent_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return textstats.frequent_vocabulary(unigram(spark, sf_dir), 20)
+    """Formulas of titles in normal form, above a count."""
+    return textstats.frequent_vocabulary(textstats.unigrams(cased_tokens(spark, sf_dir, "title")), 2)
 
 
 # The same statistics over the whole text of a paper: titles with abstracts. The queries above are those of titles, as their SQL has it.
@@ -121,9 +140,10 @@ def most_similar_terms_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textstats.similar_terms(materialise(skipgram_documents(spark, sf_dir), "grams"), "polarization").withColumn("sim", F.round("sim", 9))
 
 
-@query(ORACLE["frequent_vocabulary"].replace(TOK, _DOCUMENT_TOK))
+@query(_cased("title", "abstract"))
 def frequent_vocabulary_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return textstats.frequent_vocabulary(unigram_documents(spark, sf_dir), 20)
+    """Formulas of titles and abstracts in normal form, above a count."""
+    return textstats.frequent_vocabulary(textstats.unigrams(cased_tokens(spark, sf_dir, "title", "abstract")), 2)
 
 
 @query(f"WITH {EVENTS} SELECT token, count(*) AS n FROM ev WHERE token <> 'signup' GROUP BY token")
@@ -209,11 +229,17 @@ def auc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.auc(d.select(F.col("n_chars").alias("score"), (F.col("lang") == "en").cast("int").alias("label"))).withColumn("auc", F.round("auc", 9))
 
 
-@query("SELECT chemical_id, sum(coalesce(try_cast(regexp_extract(x, '[0-9.]+$') AS DOUBLE), 1)) AS amount FROM (SELECT chemical_id, unnest(regexp_extract_all(name, '[A-Z][a-z]?[0-9.]*')) AS x FROM chemical WHERE name IS NOT NULL) GROUP BY chemical_id")
+_GROUP = "[(\\[]([^()\\[\\]]*)[)\\]]([0-9.]*)"
+_AMOUNTS = f"""pt AS (SELECT chemical_id, unnest(regexp_extract_all(regexp_replace(name, '{_GROUP}', '', 'g'), '[A-Z][a-z]?[0-9.]*')) AS x, 1.0::DOUBLE AS k FROM chemical WHERE name IS NOT NULL
+UNION ALL SELECT chemical_id, unnest(regexp_extract_all(g, '[A-Z][a-z]?[0-9.]*')), coalesce(try_cast(m AS DOUBLE), 1) FROM (SELECT chemical_id, unnest(regexp_extract_all(name, '{_GROUP}', 1)) AS g, unnest(regexp_extract_all(name, '{_GROUP}', 2)) AS m FROM chemical WHERE name IS NOT NULL)),
+am AS (SELECT chemical_id, regexp_extract(x, '^[A-Z][a-z]?') AS element, round(sum(coalesce(try_cast(regexp_extract(x, '[0-9.]+$') AS DOUBLE), 1) * k), 9) AS amount FROM pt GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_AMOUNTS} SELECT * FROM am")
 def formula_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sum of the amounts of all elements of a name."""
-    m = table(spark, sf_dir, "chemical").where(F.col("name").isNotNull()).select("chemical_id", text.composition(F.col("name")).alias("m")).where(F.size("m") > 0)
-    return m.select("chemical_id", F.aggregate(F.map_values("m"), F.lit(0.0), lambda s, x: s + x).alias("amount"))
+    """The amount of every element of a name, brackets multiplied."""
+    m = table(spark, sf_dir, "chemical").where(F.col("name").isNotNull()).select("chemical_id", F.explode(text.composition(F.col("name"))).alias("element", "amount"))
+    return m.withColumn("amount", F.round("amount", 9))
 
 
 @query()

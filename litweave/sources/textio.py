@@ -36,7 +36,7 @@ def read_columns(spark: SparkSession, path: str, columns: dict[str, str], sep: s
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(token, vec) of lines id, component, component ..."""
     parts = F.split("value", ",")
-    return spark.read.text(path).select(parts[0].alias("token"), F.transform(F.slice(parts, 2, 1_000_000), lambda x: F.trim(x).try_cast("float")).alias("vec"))
+    return spark.read.text(path).select(parts[0].alias("token"), F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.trim(x).try_cast("float")).alias("vec"))
 
 
 def read_json_map(spark: SparkSession, path: str, value: str = "int") -> DataFrame:
@@ -52,4 +52,4 @@ def write_by_year(df: DataFrame, path: str, year: str = "year") -> None:
 def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst) of adjacency lines: node, neighbour, neighbour ...; comments start with #."""
     lines = spark.read.text(path).select(F.split(F.trim(F.regexp_replace("value", "#.*", "")), r"\s+").alias("n"))
-    return lines.select(F.get("n", 0).try_cast("long").alias("src"), F.explode(F.slice("n", 2, 100_000_000)).alias("dst")).select("src", F.col("dst").try_cast("long").alias("dst"))
+    return lines.select(F.get("n", 0).try_cast("long").alias("src"), F.explode(F.slice("n", F.lit(2), F.size("n"))).alias("dst")).select("src", F.col("dst").try_cast("long").alias("dst"))

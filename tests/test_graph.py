@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict
 from fractions import Fraction as Fr
 from types import SimpleNamespace
 
@@ -245,3 +246,43 @@ def test_edges_are_drawn_alike(spark):
     assert len(n) == 300 and max(n.values()) < 50 and sum(n.values()) == 6000
     index, nodes = walks.edge_numbers(inc)
     assert {r.d for r in nodes.collect()} == {300} and index.count() == 600
+
+
+def _expert_step(density, graph, n, visited, beta):
+    """The distribution of one step, the plain way."""
+    now = visited[-1]
+    rows = [[density.get((v, u), 0.0) for u in range(n)] for v in ([now] if beta <= 0 else visited)]
+    d = [math.prod(r[u] for r in rows) ** (1 / len(rows)) for u in range(n)]
+    sign = (beta > 0) - (beta < 0)
+    soft = [math.exp(-sign * x) for x in d]
+    near = [u for u in range(n) if (now, u) in graph]
+    p = [abs(beta) * soft[u] / sum(soft) + (1 - abs(beta)) * ((u in near) / len(near) if near else 1 / n) for u in range(n)]
+    p[now] = 0.0
+    return [x / sum(p) for x in p]
+
+
+@pytest.mark.parametrize("beta", [-0.6, 0.0, 0.7])
+def test_expert_walks_follow_the_distribution(spark, beta):
+    density = {(0, 1): 0.9, (1, 0): 0.9, (0, 2): 0.3, (2, 0): 0.3, (1, 2): 0.5, (2, 1): 0.5, (0, 0): 1.0}
+    graph = {(0, 3), (0, 1), (1, 0), (3, 0), (0, 0)}
+    n, walks_ = 7, 6_000
+    table = spark.createDataFrame([(a, b, d) for (a, b), d in density.items()], "src long, dst long, d double")
+    edges = spark.createDataFrame(sorted(graph), "src long, dst long")
+    found = walks.expert_walks(table, edges, spark.range(n).select(F.col("id").alias("v")), spark.range(walks_).select(F.col("id").alias("walk"), F.lit(0).cast("long").alias("v")), 2, beta)
+    seen = defaultdict(dict)
+    for r in found.collect():
+        seen[r.walk][r.pos] = r.v
+    assert len(seen) == walks_ and all(set(w) == {0, 1, 2} and w[0] == 0 and w[1] != 0 and w[2] != w[1] for w in seen.values())
+    for first in (None, *range(1, n)):
+        own = [w for w in seen.values() if first is None or w[1] == first]
+        if len(own) < 300:
+            continue
+        want = _expert_step(density, graph, n, [0] if first is None else [0, first], beta)
+        got = Counter(w[1 if first is None else 2] for w in own)
+        for u in range(n):
+            assert got[u] / len(own) == pytest.approx(want[u], abs=4 * math.sqrt(want[u] * (1 - want[u]) / len(own)) + 1e-9), (beta, first, u)
+
+
+def test_a_path_of_many_hyperedges(spark):
+    inc = spark.createDataFrame([(0, "keyword", 0)] + [(e, "author", v) for e in range(66) for v in (e, e + 1)] + [(65, "entity", 5), (100, "entity", 6)], "e long, t string, v long")
+    assert {r.v: r.dist for r in paths.keyword_distance(inc).collect()} == {5: 132, 6: -1}

@@ -107,9 +107,9 @@ def test_stream(spark, tmp_path):
 
 def test_text_functions(spark):
     one = lambda c, **v: spark.createDataFrame([tuple(v.values())], ", ".join(f"{k} string" for k in v)).select(c.alias("x")).first().x
-    assert one(text.clean_abstract(F.col("a")), a="Inf. © 2001 Press. All rights reserved.") == "inf.  "
+    assert one(text.clean_text(F.col("a")), a="Inf. © 2001 Press. All rights reserved.") == "inf.  "
     long = "© " + " ".join(["w"] * 30) + "."
-    assert one(text.clean_abstract(F.col("a")), a=long) == long
+    assert one(text.clean_text(F.col("a")), a=long) == long
     assert one(text.prune_walk(F.col("w"), "author"), w="kw a_1 aff_2 x1.5 a_b") == "kw aff_2 x1.5 a_b"
     assert one(text.prune_walk(F.col("w"), "entity", "kw"), w="kw a_1 aff_2 x") == "kw a_1 aff_2"
     assert one(text.prune_walk(F.col("w"), "author_affiliation"), w="kw a_1 kw") is None
