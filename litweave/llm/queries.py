@@ -19,8 +19,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each record once with the number of its copies."""
-    return _ledger(spark, sf_dir)[0].select("first_id", "n_copies")
+    """Each record once with the number of its copies, its smallest id and the one that arrived first."""
+    return _ledger(spark, sf_dir)[0].select("first_id", "n_copies", "earliest_id")
 
 
 def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ _FROM_PAIRS = "FROM p JOIN n na ON na.item = p.a JOIN n nb ON nb.item = p.b, t"
 
 ORACLE = {
     "p1_found": f"{_GROUPS} SELECT first_id, paper_id AS copy_id FROM (SELECT paper_id, min(paper_id) OVER (PARTITION BY a, b) AS first_id FROM g) WHERE paper_id <> first_id",
-    "p1_records": f"{_GROUPS} SELECT min(paper_id) AS first_id, count(*) AS n_copies FROM g GROUP BY a, b",
+    "p1_records": f"{_GROUPS} SELECT min(paper_id) AS first_id, count(*) AS n_copies, arg_min(paper_id, (coalesce(epoch_us(loaded_at), -1e18::BIGINT), paper_id)) AS earliest_id FROM g JOIN paper USING (paper_id) GROUP BY a, b",
     "p4_found": f"{_TERMS} SELECT term, mark FROM m WHERE mark IS NOT NULL",
     "p4_terms": f"{_TERMS} SELECT * FROM m",
     "p5_found": f"{_PAIRS} SELECT p.a AS chemical_a, p.b AS chemical_b {_FROM_PAIRS} WHERE p.n >= 3 AND 500 * p.n >= t.n AND t.n::HUGEINT * p.n >= 5::HUGEINT * na.n * nb.n",

@@ -45,18 +45,39 @@ def test_copies(spark):
         if d is not None and t is not None and canon(d) not in ("", "na") and canon(t) not in ("", "na"):
             groups[tuple(sorted((canon(d), canon(t))))].append(i)
     assert sorted((r.first_id, r.n_copies) for r in led.collect()) == sorted((min(g), len(g)) for g in groups.values())
+    came = {i: (k is not None, k or 0, i) for i, _, _, k in PAPERS}
+    assert sorted(r.earliest_id for r in led.collect()) == sorted(min(g, key=came.get) for g in groups.values())
     assert set(map(tuple, ledger.copies(led, keyed).collect())) == {(min(g), i) for g in groups.values() for i in g if i != min(g)}
 
 
 def test_ledger_continues(spark, tmp_path):
     path = "file://" + str(tmp_path / "led")
-    rows = lambda *x: spark.createDataFrame([(bytearray(k.encode()), i) for k, i in x], "key binary, id long")
-    ledger.DuplicateLedger(spark, path, 4).merge(rows(("a", 5), ("a", 7), ("b", 2)))
+    rows = lambda *x: spark.createDataFrame([(bytearray(k.encode()), i, t) for k, i, t in x], "key binary, id long, at long")
+    state = lambda led: {bytes(r.key): (r.n_copies, r.first_id, r.earliest_id) for r in led.read().collect()}
+    ledger.DuplicateLedger(spark, path, 4).merge(rows(("a", 5, 10), ("a", 7, 3), ("b", 2, 1)))
     again = ledger.DuplicateLedger(spark, path)
-    again.merge(rows(("a", 3), ("c", 1)))
+    before = again.read()
+    again.merge(rows(("a", 3, 9), ("c", 1, None)))
     again.merge(rows())
-    want = {b"a": (3, 3), b"b": (1, 2), b"c": (1, 1)}
-    assert {bytes(r.key): (r.n_copies, r.first_id) for r in ledger.DuplicateLedger(spark, path).read().collect()} == want
+    want = {b"a": (3, 3, 7), b"b": (1, 2, 2), b"c": (1, 1, 1)}
+    assert state(ledger.DuplicateLedger(spark, path)) == want
+    assert {bytes(r.key) for r in before.collect()} == {b"a", b"b"}  # a reader under way still has its files
+    # a merge that broke off before or after its manifest changes nothing
+    (tmp_path / "led" / "writing-000000000009").write_text("{")
+    (tmp_path / "led" / "manifest-000000000008.json").write_text("{")
+    led = ledger.DuplicateLedger(spark, path)
+    assert state(led) == want and led.generation == 2
+    (tmp_path / "led" / "manifest-000000000008.json").unlink()
+    led.split()
+    led.merge(rows(("a", 1, None), ("d", 4, 4)))
+    again = ledger.DuplicateLedger(spark, path)
+    assert again.buckets == 8 and state(again) == {b"a": (4, 1, 1), b"b": (1, 2, 2), b"c": (1, 1, 1), b"d": (1, 4, 4)}
+
+
+def test_ledger_splits_full_buckets(spark, tmp_path):
+    led = ledger.DuplicateLedger(spark, "file://" + str(tmp_path / "led"), 2, bucket_rows=10)
+    led.merge(spark.range(100).select(F.col("id").cast("string").cast("binary").alias("key"), "id", F.lit(1).cast("long").alias("at")))
+    assert led.buckets == 4 and led.read().count() == 100
 
 
 def test_hot_group_of_copies(spark):
