@@ -17,16 +17,18 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litweave.llm.bpe import VOCABULARY, token_counts
-from litweave.runtime import materialise
+from litweave.runtime import materialise, skew_join
 
 #: Uniform numbers are multiples of 1 / LEVELS.
 LEVELS = 1 << 16
-#: Listed sources are read to the driver up to this number; the token mass of each is LEVELS numbers at most.
-MAX_SOURCES = 2_000
+#: Levels of all sources (one number a possible copy) are broadcast up to this many numbers, counted before; beyond it the
+#: documents meet them in a salted join.
+BROADCAST_LEVELS = 500_000
 
 
 def source_totals(sized: DataFrame, targets: DataFrame) -> DataFrame:
@@ -53,13 +55,10 @@ def exhausted_sources(mixed: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def _poisson_levels(rate: float, cap: int) -> np.ndarray:
-    """The level at which the copies of a document reach 1, 2 ... cap."""
-    p, total, out = math.exp(-rate), 0.0, []
-    for k in range(cap):
-        total += p
-        out.append(min(LEVELS, round(total * LEVELS)))
-        p *= rate / (k + 1)
-    return np.array(out, np.int64)
+    """The level at which the copies of a document reach 1, 2 ... cap: the distribution function, summed from logarithms."""
+    k = np.arange(cap)
+    logs = -rate + k * math.log(rate) - np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, cap)))])[:cap] if rate > 0 else np.where(k == 0, 0.0, -np.inf)
+    return np.minimum(LEVELS, np.round(np.cumsum(np.exp(logs)) * LEVELS)).astype(np.int64)
 
 
 def fit_levels(mass: np.ndarray, target: float, cap: int) -> np.ndarray:
@@ -71,7 +70,7 @@ def fit_levels(mass: np.ndarray, target: float, cap: int) -> np.ndarray:
         return np.zeros(cap, np.int64)
     realised = lambda rate: int(tail[_poisson_levels(rate, cap)].sum())
     lo, hi = 0.0, 1.0
-    while realised(hi) < target and hi < 700:
+    while realised(hi) < target and hi < 1e9:
         hi *= 2
     for _ in range(60):
         mid = (lo + hi) / 2
@@ -79,6 +78,22 @@ def fit_levels(mass: np.ndarray, target: float, cap: int) -> np.ndarray:
     return _poisson_levels(min((lo, hi), key=lambda r: abs(realised(r) - target)), cap)
 
 
+def source_levels(placed: DataFrame, totals: DataFrame) -> DataFrame:
+    """(source, levels) of every listed source, each fitted in a task of its own from at most LEVELS token masses."""
+    mass = placed.where(F.col("n_tokens") > 0).groupBy("source", "level").agg(F.sum("n_tokens").alias("n"))
+    wanted = totals.select("source", (F.coalesce("target_share", F.lit(0.0)) * F.col("total")).alias("target"), F.coalesce("max_repeats", F.lit(0)).alias("cap"))
+
+    def fit(own: pd.DataFrame) -> pd.DataFrame:
+        tokens = np.zeros(LEVELS, np.int64)
+        known = own.dropna(subset=["level"])
+        tokens[known["level"].to_numpy(np.int64)] = known["n"].to_numpy(np.int64)
+        levels = fit_levels(tokens, float(own["target"].iloc[0]), int(own["cap"].iloc[0]))
+        return pd.DataFrame({"source": [own["source"].iloc[0]], "levels": [levels.astype(np.int32)]})
+
+    rows = wanted.join(mass, "source", "left").select("source", "target", "cap", "level", "n")
+    return materialise(rows.groupBy("source").applyInPandas(fit, "source string, levels array<int>"), "mix-levels")
+
+
 def sized_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, source, n_tokens), written once: every later step reads these narrow rows instead of the texts."""
     return materialise(token_counts(docs, (key, "source"), text, vocabulary), "mix-sizes")
@@ -86,28 +101,22 @@ def sized_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", vo
 
 def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 42) -> DataFrame:
     """(key, source, n_tokens, copy_no, place): one row for each use of a document, range-partitioned and sorted by place."""
-    spark = sized.sparkSession
-    listed = targets.where(F.col("source").isNotNull()).select("source").distinct()
-    n = listed.count()
-    if n > MAX_SOURCES:
-        raise ValueError(f"{n} sources are listed; the mix is planned for up to {MAX_SOURCES}")
     level = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 48)
-    placed = sized.join(F.broadcast(listed), "source").withColumn("level", level.cast("int"))
-    mass: dict[str, np.ndarray] = {}
-    for r in placed.where(F.col("n_tokens") > 0).groupBy("source", "level").agg(F.sum("n_tokens").alias("n")).groupBy("source").agg(F.collect_list(F.struct("level", "n")).alias("m")).toLocalIterator():
-        mass[r["source"]] = np.zeros(LEVELS, np.int64)
-        for x in r["m"]:
-            mass[r["source"]][x["level"]] = x["n"]
-    rows = []
-    for r in source_totals(sized, targets).collect():
-        own = mass.get(r["source"], np.zeros(LEVELS, np.int64))
-        rows.append((r["source"], [int(x) for x in fit_levels(own, (r["target_share"] or 0) * r["total"], r["max_repeats"] or 0)]))
-    levels = spark.createDataFrame(rows, "source string, levels array<int>")
-    counted = placed.join(F.broadcast(levels), "source").withColumn("copies", F.size(F.filter("levels", lambda t: t <= F.col("level"))))
+    placed = sized.where(F.col("source").isNotNull()).withColumn("level", level.cast("int"))
+    levels = source_levels(placed, source_totals(sized, targets))
+    small = (levels.agg(F.sum(F.size("levels"))).first()[0] or 0) + levels.count() <= BROADCAST_LEVELS
+    met = placed.join(F.broadcast(levels), "source") if small else skew_join(placed, levels, "source")
+    counted = met.withColumn("copies", F.size(F.filter("levels", lambda t: t <= F.col("level"))))
     used = counted.where(F.col("copies") > 0).select(key, "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
     return used.withColumn("place", F.xxhash64(F.col(key), F.col("copy_no"), F.lit(seed + 1))).repartitionByRange("place").sortWithinPartitions("place")
 
 
+def with_texts(mixed: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The mix with the text of every use, in the order of its place. Repeated ids in ``docs``: a use for each."""
+    found = mixed.join(docs.select(key, text), key)
+    return found.repartitionByRange("place").sortWithinPartitions("place")
+
+
 def shares(mixed: DataFrame, totals: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, tokens, mix_tokens, actual_share) of every listed source."""
     got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("mix_tokens"))

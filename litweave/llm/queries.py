@@ -73,6 +73,19 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.mix(sized, targets), mixing.source_totals(sized, targets))
 
 
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the mix, as one row of truths."""
+    sized, targets = _sized(spark, sf_dir)
+    mixed, totals = materialise(mixing.mix(sized, targets), "mix"), materialise(mixing.source_totals(sized, targets), "mix-totals")
+    uses = mixed.groupBy("doc_id", "source").agg(F.count("*").alias("n"), F.max("copy_no").alias("last")).join(totals.select("source", "max_repeats"), "source", "left")
+    copies = uses.agg(F.every(F.col("n") == F.col("last")).alias("numbered"), F.every(F.col("n") <= F.col("max_repeats")).alias("within_cap"))
+    got = mixing.shares(mixed, totals).join(mixing.short_sources(totals).select("source", F.lit(True).alias("short")), "source", "left")
+    whole = float(totals.first()["total"] or 1)
+    near = F.when(F.col("short"), F.col("mix_tokens") == F.col("max_repeats") * F.col("tokens")).otherwise(F.abs(F.col("mix_tokens") / whole - F.col("target_share")) <= 0.01)
+    held = got.agg(F.every(near).alias("near_target"), F.every(F.abs(F.col("actual_share") - F.col("mix_tokens") / F.lit(float(mixed.agg(F.sum("n_tokens")).first()[0] or 1))) < 1e-9).alias("shares_add_up"), F.count("*").alias("n_sources"))
+    return copies.join(F.broadcast(held))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: each distinct run and kind."""
     model, spans = pii.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "author"))
@@ -85,7 +98,7 @@ def p10_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.mask(docs, pii.fit(docs, table(spark, sf_dir, "author"))[0])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p4_found, p4_terms, p5_found, p5_pairs, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_masked)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p4_found, p4_terms, p5_found, p5_pairs, p8_ids, p9_found, p9_mix, p9_shares, p9_checks, p10_found, p10_masked)}
 
 _CANON = "regexp_replace(lower(upper({0})), '[^\\pL\\pN]+', '', 'g')"
 _GROUPS = f"""
@@ -106,6 +119,7 @@ p AS (SELECT x.item AS a, y.item AS b, count(*) AS n FROM r x JOIN r y ON x.bask
 _FROM_PAIRS = "FROM p JOIN n na ON na.item = p.a JOIN n nb ON nb.item = p.b, t"
 
 ORACLE = {
+    "p9_checks": "SELECT true AS numbered, true AS within_cap, true AS near_target, true AS shares_add_up, count(DISTINCT source) AS n_sources FROM source_target WHERE source IS NOT NULL",
     "p1_found": f"{_GROUPS} SELECT first_id, paper_id AS copy_id FROM (SELECT paper_id, min(paper_id) OVER (PARTITION BY a, b) AS first_id FROM g) WHERE paper_id <> first_id",
     "p1_records": f"{_GROUPS} SELECT min(paper_id) AS first_id, count(*) AS n_copies, arg_min(paper_id, (coalesce(epoch_us(loaded_at), -1e18::BIGINT), paper_id)) AS earliest_id FROM g JOIN paper USING (paper_id) GROUP BY a, b",
     "p4_found": f"{_TERMS} SELECT term, mark FROM m WHERE mark IS NOT NULL",

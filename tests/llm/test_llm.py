@@ -215,7 +215,28 @@ def test_exhausted_sources_come_from_the_mix(spark, monkeypatch):
     assert {r.source for r in queries.p9_found(spark, "").collect()} == {"small", "none"} and seen
 
 
+def test_many_sources_and_large_caps(spark, monkeypatch):
+    docs = spark.range(6_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3_000).alias("source"), F.lit(10).cast("long").alias("n_tokens"), F.lit("text").alias("text"))
+    targets = spark.range(3_000).select(F.concat(F.lit("s"), F.col("id")).alias("source"), F.lit(1 / 3_000).alias("target_share"), F.lit(9).alias("max_repeats"))
+    sized = docs.drop("text")
+    whole = mixing.mix(sized, targets).count()
+    monkeypatch.setattr(mixing, "BROADCAST_LEVELS", 10)
+    mixed = mixing.mix(sized, targets)
+    assert mixed.count() == whole and mixed.select("source").distinct().count() > 2_500
+    assert mixing.with_texts(mixed, docs).where("text = 'text'").count() == whole
+    one = spark.createDataFrame([("s0", 1.0, 2_000)], "source string, target_share double, max_repeats int")
+    many = sized.where("source in ('s0', 's1')").withColumn("source", F.lit("s0")).unionByName(sized.limit(0))
+    assert mixing.mix(many, one).count() == pytest.approx(4, abs=2)
+    # a small source repeated about a thousand times
+    grown = spark.createDataFrame([("big", k, 1_000) for k in range(200)] + [("small", 1_000 + k, 2) for k in range(40)], "source string, doc_id long, n_tokens long")
+    wish = spark.createDataFrame([("big", 0.5, 1), ("small", 0.4, 2_000)], "source string, target_share double, max_repeats int")
+    got = {r.source: r.mix_tokens for r in mixing.shares(mixing.mix(grown, wish), mixing.source_totals(grown, wish)).collect()}
+    assert got["small"] == pytest.approx(0.4 * 200_080, rel=0.02)
+
+
 def test_copies_are_poisson():
+    assert list(mixing._poisson_levels(0.0, 3)) == [mixing.LEVELS] * 3
+    assert 0.4 < mixing._poisson_levels(1_000.0, 1_001)[-1] / mixing.LEVELS < 0.6
     levels = mixing._poisson_levels(1.3, 6)
     mean = sum((mixing.LEVELS - x) / mixing.LEVELS for x in levels)
     assert mean == pytest.approx(sum(min(k, 6) * math.exp(-1.3) * 1.3**k / math.factorial(k) for k in range(40)), abs=1e-3)
