@@ -242,10 +242,12 @@ def formula_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("amount", F.round("amount", 9))
 
 
+_ELEMENTS = ["Al", "Bi", "Ca", "Cu", "Fe", "Ga", "In", "La", "Li", "Mn", "Nb", "O", "P", "S", "Sb", "Se", "Si", "Sn", "Sr", "Te", "Ti", "Y", "Yb", "Zn", "Zr"]
+
+
 @query()
 def composition_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    elements = ["Al", "Bi", "Ca", "Cu", "Fe", "Ga", "In", "La", "Li", "Mn", "Nb", "O", "P", "S", "Sb", "Se", "Si", "Sn", "Sr", "Te", "Ti", "Y", "Yb", "Zn", "Zr"]
-    return vectors.composition_vectors(table(spark, sf_dir, "chemical").select(F.col("chemical_id").alias("v"), "name"), elements)
+    return vectors.composition_vectors(table(spark, sf_dir, "chemical").select(F.col("chemical_id").alias("v"), "name"), _ELEMENTS)
 
 
 # models

@@ -8,10 +8,10 @@ from pathlib import Path
 import pytest
 from compare import compare, duck
 
-from litweave.plans import data_queries, graph_queries, lookup_queries, measure_queries, text_queries
+from litweave.plans import check_queries, data_queries, graph_queries, lookup_queries, measure_queries, text_queries
 
 DIR = "/root/testdata/sf0.001"
-MODULES = (lookup_queries, graph_queries, measure_queries, text_queries, data_queries)
+MODULES = (lookup_queries, graph_queries, measure_queries, text_queries, data_queries, check_queries)
 QUERIES = {k: (f, m.ORACLE.get(k)) for m in MODULES for k, f in m.QUERIES.items()}
 
 pytestmark = pytest.mark.skipif(not Path(DIR).exists(), reason="no test tables")
