@@ -91,11 +91,39 @@ def _pick_edges(here: DataFrame, index: DataFrame, nodes: DataFrame, seed: int,
     return picks.join(index, [*NODE, "salt", "i"]).select("walk", F.col("t").alias("ct"), F.col("v").alias("cv"), "e")
 
 
+#: Hyperedges a walk tries at once when they have weights.
+TRIES = 8
+
+
+def _pick_edges_by_return(here: DataFrame, prev: DataFrame, inc: DataFrame, index: DataFrame, nodes: DataFrame, q: float, seed: int, step: int) -> DataFrame:
+    """(walk, ct, cv, e): a hyperedge of each walk's node, those without the node before with weight 1/q.
+
+    By rejection: hyperedges are drawn by number and the first is kept that passes with its share of the largest
+    weight. A try costs one row whatever the degree; walks without success try again.
+    """
+    heavy = max(1.0, 1.0 / q)
+    back = prev.select("walk", F.col("t").alias("pt"), F.col("v").alias("pv"))
+    left, out, start = here.select("walk", *NODE).join(nodes.select(NODE), NODE, "left_semi"), None, 0
+    while True:
+        tries = left.select(F.col("walk").alias("of"), *NODE, F.explode(F.sequence(F.lit(start), F.lit(start + TRIES - 1))).alias("n"))
+        tries = tries.withColumn("walk", F.struct("of", "n"))
+        drawn = _pick_edges(tries, index, nodes, seed, step).select(F.col("walk.of").alias("walk"), F.col("walk.n").alias("n"), "ct", "cv", "e").join(back, "walk")
+        on_prev = inc.select("e", F.col("t").alias("pt"), F.col("v").alias("pv"), F.lit(1).alias("same"))
+        judged = drawn.join(on_prev, ["e", "pt", "pv"], "left")
+        share = F.when(F.col("same").isNotNull(), 1.0).otherwise(1.0 / q) / heavy
+        passed = judged.where(uniform(seed + 2, F.col("walk"), step, F.col("n")) < share).groupBy("walk", "ct", "cv").agg(F.min_by("e", "n").alias("e"))
+        passed = materialise(passed, "walk-edges")
+        out = passed if out is None else out.unionByName(passed)
+        left = materialise(left.join(passed.select("walk"), "walk", "left_anti"), "walk-left")
+        if left.isEmpty():
+            return out
+        start += TRIES
+
+
 def hypergraph_walks(inc: DataFrame, starts: DataFrame, length: int, lazy: bool = True, weight: Weight | None = None, q: float | None = None, seed: int = 42) -> DataFrame:
     """(walk, pos, t, v, e) of walks from starts(walk, t, v); e is the hyperedge that led to the node.
 
-    Non-lazy walks leave their node at each step. With ``q``, hyperedges without the previous node weigh 1/q, for
-    which the hyperedges of the current node are compared one by one. A walk ends when no node is eligible; a start without hyperedges is a walk of its start alone.
+    Non-lazy walks leave their node at each step. With ``q``, hyperedges without the previous node weigh 1/q. A walk ends when no node is eligible; a start without hyperedges is a walk of its start alone.
     """
     here = starts.select("walk", *NODE).withColumn("pos", F.lit(0)).withColumn("e", F.lit(None).cast("long"))
     out = [here]
@@ -105,12 +133,7 @@ def hypergraph_walks(inc: DataFrame, starts: DataFrame, length: int, lazy: bool
         if q is None or prev is None:
             picked = _pick_edges(here, index, degrees, seed, 2 * k)
         else:
-            edges = here.select("walk", *NODE).join(inc, NODE).select("walk", "t", "v", "e")
-            back = prev.select("walk", F.col("t").alias("pt"), F.col("v").alias("pv"))
-            on_prev = inc.select("e", F.col("t").alias("pt"), F.col("v").alias("pv")).join(back, ["pt", "pv"]).select("walk", "e").distinct().withColumn("same", F.lit(1))
-            w = F.when(F.col("same").isNotNull(), 1.0).otherwise(1.0 / q)
-            edges = edges.join(on_prev, ["walk", "e"], "left")
-            picked = edges.groupBy("walk", F.col("t").alias("ct"), F.col("v").alias("cv")).agg(F.min_by("e", _draw(w, seed, F.col("walk"), 2 * k, F.col("e"))).alias("e"))
+            picked = _pick_edges_by_return(here, prev, inc, index, degrees, q, seed, 2 * k)
         nodes = picked.join(inc, "e")
         if not lazy:
             nodes = nodes.where((F.col("t") != F.col("ct")) | (F.col("v") != F.col("cv")))
@@ -149,9 +172,15 @@ def matrix_walks(trans: DataFrame, starts: DataFrame, length: int, seed: int = 4
     """(walk, pos, v) on a plain transition table (src, dst, p) from starts(walk, v); a walk ends at a node without row."""
     here = starts.select("walk", "v").withColumn("pos", F.lit(0))
     out = here
+    # a row is cut into groups; a walk draws a group by its mass and meets only the entries of that group
+    rows = materialise(trans.where(F.col("p") > 0).withColumn("salt", F.pmod(F.xxhash64("dst", F.lit(13)), F.lit(SALTS)).cast("int")), "transitions")
+    masses = rows.groupBy("src", "salt").agg(F.sum("p").alias("m")).groupBy("src").agg(F.sort_array(F.collect_list(F.struct("salt", "m"))).alias("groups"))
+    masses = materialise(masses, "transition-groups")
     for k in range(1, length):
+        race = lambda g, k=k: F.struct(_draw(g["m"], seed + 1, F.col("walk"), k, g["salt"]).alias("at"), g["salt"].alias("salt"))
+        at = here.select("walk", F.col("v").alias("src")).join(masses, "src").select("walk", "src", F.array_min(F.transform("groups", race))["salt"].alias("salt"))
         draw = _draw(F.col("p"), seed, F.col("walk"), k, F.col("dst"))
-        here = here.select("walk", F.col("v").alias("src")).join(trans.where(F.col("p") > 0), "src").groupBy("walk").agg(F.min_by("dst", draw).alias("v")).withColumn("pos", F.lit(k))
+        here = at.join(rows, ["src", "salt"]).groupBy("walk").agg(F.min_by("dst", draw).alias("v")).withColumn("pos", F.lit(k))
         here = materialise(here, "walk")
         out = out.unionByName(here.select("walk", "v", "pos"))
     return out

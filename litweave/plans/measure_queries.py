@@ -9,7 +9,7 @@ from litweave.functions import scores
 from litweave.operators import density, evaluate, hops, paths, ranking, truth
 from litweave.plans import predictors
 from litweave.plans.common import BASE, LAST, MEMORY, PROPERTY, YEAR, catalog, graph, keyword_papers, recent
-from litweave.plans.graph_queries import _PLAIN, _bfs_sql, _predict_sql, _scores, _steps
+from litweave.plans.graph_queries import _PLAIN, _bfs_sql, _predict_sql, _steps
 from litweave.runtime import materialise
 
 QUERIES, ORACLE = {}, {}
@@ -96,12 +96,12 @@ sd AS (SELECT nx.v, nx.year, nx.b::DOUBLE / (nx.n + ny.n - nx.b) AS sd FROM nx J
 
 @query(f"{_SD} SELECT v, year, round(sd, 9) AS sd FROM sd")
 def social_density_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density.social_density(graph(spark, sf_dir)).withColumn("sd", F.round("sd", 9))
+    return density.social_density(graph(spark, sf_dir).written()).withColumn("sd", F.round("sd", 9))
 
 
 @query(f"{_SD} SELECT v, round(sum(sd), 9) AS score FROM sd WHERE year BETWEEN {YEAR - MEMORY} AND {YEAR - 1} GROUP BY v")
 def social_density_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density.scalar_density(density.social_density(graph(spark, sf_dir)), YEAR, MEMORY).withColumn("score", F.round("score", 9))
+    return density.scalar_density(density.social_density(graph(spark, sf_dir).written()), YEAR, MEMORY).withColumn("score", F.round("score", 9))
 
 
 @query()
@@ -149,8 +149,9 @@ BETA = 0.3
 
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s1 = social_density_scalar(spark, sf_dir).where(F.col("score") > 0).select("v", F.col("score").alias("s1"))
-    s2 = _scores(spark, sf_dir, nstep=2).where(F.col("score") > 0).select("v", F.col("score").alias("s2"))
+    g = graph(spark, sf_dir).written()
+    s1 = density.scalar_density(density.social_density(g), YEAR, MEMORY).select("v", F.round("score", 9).alias("s1")).where(F.col("s1") > 0)
+    s2 = hops.accessibility(g.window(YEAR, MEMORY).written().inc, nstep=2).select("v", F.round("score", 9).alias("s2")).where(F.col("s2") > 0)
     return s1.join(s2, "v")
 
 
@@ -249,7 +250,7 @@ def predict_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_SD} SELECT v, round(sum(sd), 9) AS score FROM sd WHERE year BETWEEN {YEAR - MEMORY} AND {YEAR - 1} AND v NOT IN (SELECT v FROM fy WHERE year < {YEAR}) GROUP BY v ORDER BY 2 DESC, v LIMIT 50")
 def predict_social_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predictors.social_density_predictor(graph(spark, sf_dir))(YEAR, scores=True)
+    return predictors.social_density_predictor(graph(spark, sf_dir).written())(YEAR, scores=True)
 
 
 @query(f"""{BASE}, {_PLAIN}, {_steps(2, "t <> 'keyword'", True)}, y AS (SELECT v, year, count(*)::DOUBLE AS n FROM st WHERE year >= 2005 GROUP BY v, year),

@@ -286,3 +286,23 @@ def test_expert_walks_follow_the_distribution(spark, beta):
 def test_a_path_of_many_hyperedges(spark):
     inc = spark.createDataFrame([(0, "keyword", 0)] + [(e, "author", v) for e in range(66) for v in (e, e + 1)] + [(65, "entity", 5), (100, "entity", 6)], "e long, t string, v long")
     assert {r.v: r.dist for r in paths.keyword_distance(inc).collect()} == {5: 132, 6: -1}
+
+
+def test_returning_walks_follow_their_weights(spark):
+    """From node 2, reached from 1, over edges 10 (with 1) and 11, 12 (without): shares 1 : 1/q : 1/q."""
+    inc = spark.createDataFrame([(10, A, 1), (10, A, 2), (11, A, 2), (11, A, 3), (12, A, 2), (12, A, 4), (13, A, 1), (13, K, 0)], "e long, t string, v long")
+    here = spark.range(4_000).select(F.col("id").alias("walk"), F.lit(A).alias("t"), F.lit(2).cast("long").alias("v"))
+    prev = here.withColumn("v", F.lit(1).cast("long"))
+    index, nodes = walks.edge_numbers(inc)
+    for q in (4.0, 0.25):
+        got = Counter(r.e for r in walks._pick_edges_by_return(here, prev, inc, index, nodes, q, 7, 2).collect())
+        assert sum(got.values()) == 4_000
+        for e, w in ((10, 1.0), (11, 1 / q), (12, 1 / q)):
+            assert got[e] / 4_000 == pytest.approx(w / (1 + 2 / q), abs=0.03)
+
+
+def test_matrix_walks_follow_the_rows(spark):
+    trans = spark.createDataFrame([(0, d, p) for d, p in ((1, 0.1), (2, 0.6), (3, 0.3), (4, 0.0))], "src long, dst long, p double")
+    starts = spark.range(4_000).select(F.col("id").alias("walk"), F.lit(0).cast("long").alias("v"))
+    got = Counter(r.v for r in walks.matrix_walks(trans, starts, 3).where("pos = 1").collect())
+    assert set(got) == {1, 2, 3} and all(got[d] / 4_000 == pytest.approx(p, abs=0.03) for d, p in ((1, 0.1), (2, 0.6), (3, 0.3)))
