@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import gzip
-import io
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litweave.runtime import ship
+from litweave.sources.files import open_fs
 
 #: The parts of a record that are read.
 RECORD_XML = """static_data struct<
@@ -33,22 +34,24 @@ def _strip(element: ElementTree.Element) -> ElementTree.Element:
     return element
 
 
-def _records(content: bytes) -> Iterator[tuple[str, int, str | None]]:
-    """(member, number, xml) of each record of an archive; a member that breaks off gives null once."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
+def _records(archive) -> Iterator[tuple[str, int, str | None]]:
+    """(member, number, xml) of each record of an archive (a seekable file); a member that breaks off gives null once."""
+    with zipfile.ZipFile(archive) as z:
         for name in z.namelist():
             if not name.endswith(".xml.gz"):
                 continue
             n = 0
             try:
                 with z.open(name) as raw, gzip.open(raw) as member:
-                    depth = 0
+                    depth, root = 0, None
                     for event, e in ElementTree.iterparse(member, ("start", "end")):
                         depth += 1 if event == "start" else -1
+                        if root is None:
+                            root = e
                         if event == "end" and depth == 1:
                             yield name, n, ElementTree.tostring(_strip(e), encoding="unicode")
                             n += 1
-                            e.clear()
+                            root.clear()  # records that are done are let go of
             except (ElementTree.ParseError, OSError, EOFError):
                 yield name, n, None
 
@@ -56,20 +59,23 @@ def _records(content: bytes) -> Iterator[tuple[str, int, str | None]]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(archive, year, member, number, xml): one row a record; the year is the number in the archive's name.
 
-    One task an archive; members are streamed, records leave in small batches.
+    One task an archive, which is opened where it lies and never held whole: members are streamed, records leave in small
+    batches.
     """
 
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for archive in batch.column(0).to_pylist():
                 rows: list[tuple] = []
-                for row in _records(content.as_py()):
-                    rows.append((archive, *row))
-                    if len(rows) == 500:
-                        yield _batch(rows)
-                        rows = []
+                system, at = open_fs(unquote(archive))
+                with system.open_input_file(at) as f:
+                    for row in _records(f):
+                        rows.append((archive, *row))
+                        if len(rows) == 500:
+                            yield _batch(rows)
+                            rows = []
                 if rows:
                     yield _batch(rows)
 
@@ -77,7 +83,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["archive", "member", "number", "xml"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select("path")
+    files = files.repartition(max(1, min(files.count(), 10_000)), "path")
     out = files.mapInArrow(run, "archive string, member string, number long, xml string")
     return out.select("archive", F.regexp_extract("archive", r"([0-9]{4})[^/]*$", 1).try_cast("int").alias("year"), "member", "number", "xml")
 

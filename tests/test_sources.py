@@ -129,3 +129,20 @@ def test_inverse_normal(spark):
     ps = [0.001, 0.02, 0.1, 0.5, 0.77, 0.99, 0.9999]
     got = spark.createDataFrame([(p,) for p in ps], "p double").select(inverse_normal(F.col("p")).alias("x")).collect()
     assert all(abs(r.x - NormalDist().inv_cdf(p)) < 1e-8 for r, p in zip(got, ps, strict=True))
+
+
+def test_npz_is_read_in_pieces(tmp_path, monkeypatch):
+    from litweave.sources import npz
+
+    dense = np.array([[0, 1, 2, 3, 4], [0, 0, 0, 0, 0], [5, 0, 0, 0, 6]])
+    row, col = np.nonzero(dense)
+    ptr = np.concatenate([[0], np.cumsum((dense != 0).sum(1))])
+    np.savez_compressed(tmp_path / "a.npz", data=dense[row, col], indices=col, indptr=ptr, shape=np.array(dense.shape), format=b"csr")
+    np.savez(tmp_path / "b.npz", data=dense[row, col], row=row, col=col, shape=np.array(dense.shape), format="coo")
+    np.savez(tmp_path / "c.npz", data=dense[:0, 0], row=row[:0], col=col[:0], shape=np.array(dense.shape), format="coo")
+    reader = npz.NpzReader("file:" + str(tmp_path))
+    assert len(reader.partitions()) == 3
+    for chunk in (1, 2, 100):
+        monkeypatch.setattr(npz, "CHUNK", chunk)
+        got = sorted(x for p in reader.partitions() for x in reader.read(p))
+        assert got == sorted(2 * list(zip(row.tolist(), col.tolist(), dense[row, col].astype(float).tolist(), strict=True)))
