@@ -617,19 +617,26 @@ def _people_of(people: People, batch: pa.RecordBatch) -> Iterator[People]:
         yield from (People(frozenset(g or ()), frozenset(n or ())) for g, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
 
 
-def candidate_spans(docs: DataFrame, people: People, key: str = "doc_id", text: str = "text", names: DataFrame | None = None) -> DataFrame:
-    """(key, spans): the candidates of every document that has some. ``names``: a table of names too large to broadcast."""
+def candidate_spans(docs: DataFrame, people: People, key: str = "doc_id", text: str = "text", names: DataFrame | None = None, keep_text: bool = False) -> DataFrame:
+    """(key, spans): the candidates of every document that has some. ``names``: a table of names too large to broadcast.
+
+    ``keep_text``: (key, text, spans) of all documents, to be masked without a second search.
+    """
     known = docs.sparkSession.sparkContext.broadcast(people)  # bounded by GAZETTEER
     kind = pa.struct([("kind", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("run", pa.string()), ("votes", pa.string()), ("ctx", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = [spans_of(t.as_py(), p) for t, p in zip(batch.column(1), _people_of(known.value, batch), strict=True)]
-            keep = pa.array([bool(s) for s in spans])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(kind))], [key, "spans"]).filter(keep)
+            found = pa.array(spans, pa.list_(kind))
+            if keep_text:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], [key, text, "spans"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), found], [key, "spans"]).filter(pa.array([bool(s) for s in spans]))
 
     own = docs.select(key, text)
-    return spread(own if names is None else with_names(own, names, text)).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, spans {SPANS}")
+    kept = f"`{text}` string, " if keep_text else ""
+    return spread(own if names is None else with_names(own, names, text)).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, {kept}spans {SPANS}")
 
 
 def train(spans: DataFrame, people: People, key: str = "doc_id") -> PiiModel:
@@ -653,10 +660,10 @@ def train(spans: DataFrame, people: People, key: str = "doc_id") -> PiiModel:
     return PiiModel(people, weights)
 
 
-def fit(docs: DataFrame, people: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[PiiModel, DataFrame]:
-    """The model, and the candidates it was fitted on (written once: texts are read a single time)."""
+def fit(docs: DataFrame, people: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> tuple[PiiModel, DataFrame]:
+    """The model, and the candidates it was fitted on (written once: texts are searched a single time)."""
     known, names = split_gazetteer(people)
-    spans = materialise(candidate_spans(docs, known, key, text, names), "pii-spans")
+    spans = materialise(candidate_spans(docs, known, key, text, names, keep_text), "pii-spans")
     return replace(train(spans, known, key), names=names), spans
 
 
@@ -694,6 +701,18 @@ def masked_text(text: str | None, spans: list[dict]) -> str | None:
     return "".join([*parts, text[at:]])
 
 
+def mask_spans(spans: DataFrame, model: PiiModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text) with placeholders, from candidates kept with their text: nothing is searched again."""
+    known = spans.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [masked_text(t, known.value.choose(s)) if s else t for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], [key, text])
+
+    return spans.select(key, text, "spans").mapInArrow(run, f"`{key}` {spans.schema[key].dataType.simpleString()}, `{text}` string")
+
+
 def mask(docs: DataFrame, model: PiiModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text) of every document with placeholders in place of personal data."""
     known = docs.sparkSession.sparkContext.broadcast(model)

@@ -305,6 +305,8 @@ def test_personal_data(spark, corpus):
     assert found[len(docs) - 1] == {("person", "Greta Tarnov")} and not found[len(corpus)] and not found[len(corpus) + 1]
     masked = {r.doc_id: r.text for r in pii.mask(df, model).collect()}
     assert masked[len(corpus)] is None and masked[len(corpus) + 1] == ""
+    again, kept = pii.fit(df, people_table(spark), keep_text=True)
+    assert sorted(map(str, pii.mask_spans(kept, again).collect())) == sorted(map(str, pii.mask(df, model).collect()))
     for i, t in enumerate(corpus):
         for kind, run in SAID.get(t, ()):
             t = t.replace(run, pii.placeholder(pii.KINDS.index(kind)))
