@@ -376,9 +376,7 @@ def neighbor_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def graph_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two layers over the entity graph: an encoder fitted on neighbours, then the identity."""
-    import numpy as np
-
+    """Two layers over the entity graph, fitted on neighbours."""
     inc = recent(spark, sf_dir).inc.where(F.col("t") == "entity")
     from litweave.operators.incidence import projection
 
@@ -387,8 +385,7 @@ def graph_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litweave.operators.walks import uniform
 
     features = materialise(nodes.select("v", F.array(*[uniform(7, F.col("v"), i) - 0.5 for i in range(8)]).alias("vec")), "entity-features")
-    w = training.train_encoder(features, edges, 8)
-    return training.graph_inference(features, edges, [(w, w), (np.eye(8), np.eye(8))])
+    return training.graph_inference(features, edges, training.train_sage(features, edges, edges, (8, 8), sample=500))
 
 
 @query("SELECT paper_id, n, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS rank FROM (SELECT paper_id, count(*) AS n FROM paper_author_mapping WHERE paper_id IS NOT NULL GROUP BY paper_id)")

@@ -306,3 +306,24 @@ def test_matrix_walks_follow_the_rows(spark):
     starts = spark.range(4_000).select(F.col("id").alias("walk"), F.lit(0).cast("long").alias("v"))
     got = Counter(r.v for r in walks.matrix_walks(trans, starts, 3).where("pos = 1").collect())
     assert set(got) == {1, 2, 3} and all(got[d] / 4_000 == pytest.approx(p, abs=0.03) for d, p in ((1, 0.1), (2, 0.6), (3, 0.3)))
+
+
+def test_layers_learn_communities(spark):
+    """Two groups of nodes with edges inside only: after training, pairs of a group lie closer than pairs across."""
+    import numpy as np
+
+    from litweave.operators import training
+
+    rng = np.random.default_rng(1)
+    group = {v: v % 2 for v in range(60)}
+    rows = sorted({(a, b) for a in range(60) for b in rng.integers(0, 60, 8).tolist() if a != b and group[a] == group[b]})
+    edges = spark.createDataFrame([*rows, *[(b, a) for a, b in rows]], "src long, dst long").distinct()
+    features = spark.createDataFrame([(v, rng.normal(0, 1, 6).tolist()) for v in range(60)], "v long, vec array<double>")
+    losses = []
+    layers = training.train_sage(features, edges, edges, (8, 8), sample=300, on_round=lambda r, x: losses.append(x))
+    assert [w.shape for pair in layers for w in pair] == [(6, 8), (6, 8), (8, 8), (8, 8)] and min(losses) < 0.8 * losses[0]
+    z = {r.v: np.array(r.vec) for r in training.graph_inference(features, edges, layers).collect()}
+    near = np.mean([z[a] @ z[b] for a in z for b in z if a < b and group[a] == group[b]])
+    far = np.mean([z[a] @ z[b] for a in z for b in z if a < b and group[a] != group[b]])
+    assert near > far + 0.3, (near, far)
+    assert len(training.train_sage(features.limit(0), edges.limit(0), edges.limit(0))) == 2
