@@ -18,7 +18,7 @@ from litweave.plans.measure_queries import _SD
 from litweave.plans.predictors import author_embedding_predictor, embedding_predictor
 from litweave.plans.text_queries import _AMOUNTS, _DOCUMENT_TOK, _ELEMENTS, _GRAM, _PW, TOK, _walk_prediction, _walks, composition_vectors, document_sentences, grams, title_tokens
 from litweave.runtime import materialise, new_path, table
-from litweave.sources import textio, upsert
+from litweave.sources import harvest, textio, upsert
 from litweave.sources.npz import NpzSource
 
 QUERIES, ORACLE = {}, {}
@@ -295,6 +295,53 @@ def matrix_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.format("npz").load(path)
 
 
+def _write_archive(folder: str):
+    """A writer of one zip archive a task: a compressed XML member with the papers of the task."""
+
+    def run(batches):
+        import gzip
+        import uuid
+        import zipfile
+        from xml.sax.saxutils import escape, quoteattr
+
+        import pyarrow as pa
+
+        from litweave.sources.files import open_fs
+
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        if not rows:
+            return
+        system, at = open_fs(folder)
+        system.create_dir(at, recursive=True)
+        with system.open_output_stream(f"{at}/{uuid.uuid4().hex}_2001.zip") as raw, zipfile.ZipFile(raw, "w") as z, z.open("part.xml.gz", "w") as member, gzip.open(member, "wt", encoding="utf-8") as out:
+            out.write('<records xmlns="http://example.org/r">')
+            for date, title, abstract, doi in rows:
+                day = f"<pub_info sortdate={quoteattr(date)}/>" if date else ""
+                name = f'<titles><title type="source">x</title><title type="item">{escape(title)}</title></titles>' if title else ""
+                text = f"<fullrecord_metadata><abstracts><abstract><abstract_text><p>{escape(abstract)}</p></abstract_text></abstract></abstracts></fullrecord_metadata>" if abstract else ""
+                key = f'<identifiers><identifier type="issn" value="1"/><identifier type="xref_doi" value={quoteattr(doi)}/></identifiers>' if doi else ""
+                out.write(f"<REC><static_data><summary>{day}{name}<doctypes><doctype>Article</doctype></doctypes></summary>{text}</static_data><dynamic_data><cluster_related>{key}</cluster_related></dynamic_data></REC>")
+            out.write("</records>")
+        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], ["n"])
+
+    return run
+
+
+#: What XML keeps of a text: no control characters, line ends as line feeds.
+_SAID = r"nullif(regexp_replace(regexp_replace(replace(replace({0}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '')"
+
+
+@query(f"SELECT 'Article' AS doc_type, CASE WHEN year(date) BETWEEN 1 AND 9999 THEN date END AS date, {_SAID.format('title')} AS title, {_SAID.format('abstract')} AS abstract, doi FROM paper")
+def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers as zip archives of compressed XML, harvested again (control characters, which XML cannot hold, left out)."""
+    path = new_path(spark, "archives")
+    clean = lambda c: F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    papers = table(spark, sf_dir, "paper").select(F.when(F.year("date").between(1, 9999), F.col("date").cast("string")), clean("title"), clean("abstract"), "doi")
+    papers.mapInArrow(_write_archive(path), "n long").write.format("noop").mode("overwrite").save()
+    records, _ = harvest.extract_records(harvest.read_archives(spark, path))
+    return records.select("doc_type", "date", "title", "abstract", "doi")
+
+
 @query("""WITH d AS (SELECT doi, min(paper_id) AS paper_id FROM paper WHERE doi IS NOT NULL GROUP BY doi), old AS (SELECT doi FROM d WHERE paper_id % 2 = 0), new AS (SELECT * FROM d WHERE paper_id % 2 = 1),
 a AS (SELECT scopus_id, min(author_id) AS author_id FROM author WHERE scopus_id IS NOT NULL GROUP BY scopus_id),
 m AS (SELECT DISTINCT new.doi, a.scopus_id FROM new JOIN paper_author_mapping p USING (paper_id) JOIN a ON a.author_id = p.author_id)
