@@ -331,12 +331,12 @@ def _write_archive(folder: str):
 _SAID = r"nullif(regexp_replace(regexp_replace(replace(replace({0}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '')"
 
 
-@query(f"SELECT 'Article' AS doc_type, CASE WHEN year(date) BETWEEN 1 AND 9999 THEN date END AS date, {_SAID.format('title')} AS title, {_SAID.format('abstract')} AS abstract, doi FROM paper")
+@query(f"SELECT 'Article' AS doc_type, CASE WHEN year(date) BETWEEN 1 AND 9999 THEN date END AS date, {_SAID.format('title')} AS title, {_SAID.format('abstract')} AS abstract, {_SAID.format('doi')} AS doi FROM paper")
 def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers as zip archives of compressed XML, harvested again (control characters, which XML cannot hold, left out)."""
     path = new_path(spark, "archives")
     clean = lambda c: F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
-    papers = table(spark, sf_dir, "paper").select(F.when(F.year("date").between(1, 9999), F.col("date").cast("string")), clean("title"), clean("abstract"), "doi")
+    papers = table(spark, sf_dir, "paper").select(F.when(F.year("date").between(1, 9999), F.col("date").cast("string")), clean("title"), clean("abstract"), clean("doi"))
     papers.mapInArrow(_write_archive(path), "n long").write.format("noop").mode("overwrite").save()
     records, _ = harvest.extract_records(harvest.read_archives(spark, path))
     return records.select("doc_type", "date", "title", "abstract", "doi")
