@@ -329,9 +329,10 @@ def _write_archive(folder: str):
 
 #: What XML keeps of a text: no control characters, line ends as line feeds.
 _SAID = r"nullif(regexp_replace(regexp_replace(replace(replace({0}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '')"
+_TRIMMED = r"nullif(regexp_replace(regexp_replace({0}, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '')"
 
 
-@query(f"SELECT 'Article' AS doc_type, CASE WHEN year(date) BETWEEN 1 AND 9999 THEN date END AS date, {_SAID.format('title')} AS title, {_SAID.format('abstract')} AS abstract, {_SAID.format('doi')} AS doi FROM paper")
+@query(f"SELECT 'Article' AS doc_type, CASE WHEN year(date) BETWEEN 1 AND 9999 THEN date END AS date, {_SAID.format('title')} AS title, {_SAID.format('abstract')} AS abstract, {_TRIMMED.format('doi')} AS doi FROM paper")
 def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers as zip archives of compressed XML, harvested again (control characters, which XML cannot hold, left out)."""
     path = new_path(spark, "archives")
