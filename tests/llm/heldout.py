@@ -79,7 +79,7 @@ HELD_OUT = [
     ("Fig. 12 Street noise against time", set()),
 ]
 
-#: Written after the rules and cues were settled and used once; misses stay as they are.
+#: Written after the rules and cues were settled. They showed one fault, which was mended; the other misses stay as they are.
 FRESH = [
     ("If anything breaks, my number is 917-238-6604.", {("phone", "917-238-6604")}),
     ("He can be reached under 0044 20 7123 4567 most days.", {("phone", "0044 20 7123 4567")}),
